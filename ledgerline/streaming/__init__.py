@@ -1,0 +1 @@
+"""Streams take the same condition and aggregate compilers as tables do: both give Column expressions, which readStream frames accept."""
