@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, with_identity, written
+from .common import table, with_identity, written
 from .words import U, Words, mix, pieces, texts
 
 SHINGLE = 5
@@ -76,18 +76,25 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of undirected edges (u, v): the least node that a node can reach. Each round takes the neighbours' least root and then
-    the root's root; rounds grow with the logarithm of long chains. Each is checkpointed."""
-    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-edges")
-    roots = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")))
-    while True:
-        near = both.join(roots.withColumnsRenamed({"node": "v"}), "v").groupBy("u").agg(F.min("root").alias("near"))
-        moved = roots.join(near.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "near").alias("to"))
-        above = roots.select(F.col("node").alias("to"), F.col("root").alias("above"))
-        new = checkpointed(moved.join(above, "to").select("node", "root", F.least("to", "above").alias("new")))
-        if new.filter("new <> root").isEmpty():
-            return new.select("node", "root")
-        roots = new.select("node", F.col("new").alias("root"))
+    """(node, root) of undirected edges (u, v), roots the same for nodes that edges connect.
+
+    Each round moves every node to its least neighbour and contracts the edges, which at least thins them out geometrically as node numbers
+    are hashes; an edge's two ends are looked up by joins, and each round is written.
+    """
+    edges = written(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "component-edges")
+    roots = None
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        moves = written(ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("to")), "component-moves")
+        if roots is None:
+            roots = moves.select("node", F.col("to").alias("root"))
+        else:
+            onward = moves.select(F.col("node").alias("root"), "to")
+            roots = written(roots.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "component-roots")
+        at_u, at_v = moves.select(F.col("node").alias("u"), F.col("to").alias("x")), moves.select(F.col("node").alias("v"), F.col("to").alias("y"))
+        moved = edges.join(at_u, "u").join(at_v, "v").filter("x <> y")
+        edges = written(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "component-edges")
+    return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
