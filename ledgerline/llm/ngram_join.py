@@ -108,8 +108,9 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    step = max(256, 8_000_000 // max(1, len(sets)))
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    step = max(1, min(columns, max(256, 8_000_000 // len(sets))))
+    for low in range(0, columns, step):
         a, b = np.searchsorted(column, (low, low + step))
         m = np.zeros((len(sets), step), np.float32)
         m[rows[a:b], column[a:b] - low] = 1
