@@ -100,11 +100,11 @@ def _text(cell: Column, dtype: str) -> Column:
 
 
 def equalities(tree: object) -> dict[str, str]:
-    """Lower-cased columns and values of the equalities that every matching row meets: a top equality, or children of a top AND."""
+    """Lower-cased columns and values of the equalities that every matching row meets: a top equality, or those under ANDs from the top."""
     if not isinstance(tree, dict):
         return {}
     if tree["operator"] == "=" and tree.get("value") is not None:
         return {str(tree["column"]).lower(): literal(tree.get("value", ""))}
     if tree["operator"] == "AND":
-        return {k: v for c in tree["children"] if isinstance(c, dict) and c["operator"] == "=" for k, v in equalities(c).items()}
+        return {k: v for c in tree["children"] for k, v in equalities(c).items()}
     return {}
