@@ -29,7 +29,8 @@ UNIGRAM, BPE = 1, 2
 #: The library's charge for a character that no piece covers, below the least score.
 UNKNOWN_CHARGE = 10.0
 #: Words that each worker keeps, and the longest kept. Others are encoded whenever they come.
-MOST_KEPT = 300_000
+MOST_KEPT = 600_000
+MOST_PAIRS = 600_000
 LONGEST_KEPT = 40
 
 
@@ -105,11 +106,16 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
+        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.no_rank = float("inf")
+        #: Every beginning of a piece, and whether it is one.
+        self.starts = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
         self.charge = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_CHARGE
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         #: No piece goes on from a word into the next, so paths always converge where a word begins.
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.valid: dict[tuple[str, str], bool] = {}
+        self.reached: dict[str, bool] = {}  # at most one a piece
         self.kept: dict[str, bytes] = {}
 
     def _single(self, char: str) -> list[int]:
@@ -119,49 +125,84 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """What merging gives: the adjacent pair whose union scores best, leftmost first, again and again."""
+        rank, none = self.rank, self.no_rank
         symbols = list(text)
-        while len(symbols) > 1:
-            best, where = None, -1
-            for i in range(len(symbols) - 1):
-                found = self.ids.get(symbols[i] + symbols[i + 1])
-                if found is not None and (best is None or self.scores[found] > best):
-                    best, where = self.scores[found], i
-            if where < 0:
+        ranks = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank.get(symbols[i] + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
         return symbols
 
     def _follows(self, a: str, b: str) -> bool:
+        """Whether merging a + b gives just the two. Adjacent pieces whose union is a piece would merge."""
+        if a + b in self.ids:
+            return False
         found = self.valid.get((a, b))
         if found is None:
             found = self.merged(a + b) == [a, b]
-            if len(self.valid) < 4 * MOST_KEPT:
+            if len(self.valid) < MOST_PAIRS:
                 self.valid[a, b] = found
         return found
 
+    def _whole(self, piece: str) -> bool:
+        """Whether merging the piece's characters gives the piece."""
+        found = self.reached.get(piece)
+        if found is None:
+            found = self.reached[piece] = self.merged(piece) == [piece]
+        return found
+
     def viterbi(self, text: str) -> Iterator[str]:
         """The best path's pieces, each given out as soon as all surviving paths share it; the lattice is held from the last commitment on."""
-        ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.kind == BPE
+        ids, scores, longest, bpe, valid, starts = self.ids, self.scores, self.longest, self.kind == BPE, self.valid, self.starts
         base = 0  # committed so far
         back: dict[int, int] = {0: 0}  # end of a path -> start of its last piece
         best: dict[int, float] = {0: 0.0}
-        for end in range(1, len(text) + 1):
+        reach: dict[int, list[int]] = {}  # end -> starts of the pieces that end there, the longest first
+        size = len(text)
+        for end in range(1, size + 1):
+            # pieces that start where the last step ended
+            stop = start = end - 1
+            while stop < size:
+                stop += 1
+                found = starts.get(text[start:stop])
+                if found is None:
+                    break
+                if found:
+                    reach.setdefault(stop, []).append(start)
+            at = reach.pop(end, [])
+            if not at or at[-1] != start:
+                at.append(start)  # a character that is no piece
             if bpe:
-                for start in range(max(base, end - longest), end):
+                for start in at:
                     piece = text[start:end]
-                    if start == end - 1 or piece in ids:
+                    if start == 0:
+                        fits = end == 1 or self._whole(piece)
+                    else:
                         before = text[back[start] : start]
-                        if self._follows(before, piece) if start else start == end - 1 or self.merged(piece) == [piece]:
-                            back[end] = start
-                            break
+                        fits = before + piece not in ids
+                        if fits:
+                            fits = valid.get((before, piece))
+                            if fits is None:
+                                fits = self._follows(before, piece)
+                    if fits:
+                        back[end] = start
+                        break
                 else:
                     raise ValueError(f"no path through {text[max(0, end - longest) : end]!r}")
             else:
                 top, place = None, end - 1
-                for start in range(max(base, end - longest), end):
-                    found = ids.get(text[start:end])
-                    if found is None and start < end - 1:
+                for start in at:
+                    if start < base:
                         continue
+                    found = ids.get(text[start:end])
                     score = best[start] + (scores[found] if found is not None else self.charge)
                     if top is None or score > top:
                         top, place = score, start
