@@ -108,14 +108,27 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         self.no_rank = float("inf")
-        #: Every beginning of a piece, and whether it is one.
-        self.starts = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        #: The pieces as a tree: character -> (id or -1, what may come next).
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            at = self.trie
+            for c in p[:-1]:
+                at = at.setdefault(c, [-1, {}])[1]
+            at.setdefault(p[-1], [-1, {}])[0] = i
+        #: Characters that stand side by side in some piece.
+        self.joined = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.charge = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_CHARGE
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         #: No piece goes on from a word into the next, so paths always converge where a word begins.
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.valid: dict[tuple[str, str], bool] = {}
-        self.reached: dict[str, bool] = {}  # at most one a piece
+        self.names = [p for p, _, _ in self.pieces]  # then characters that are no piece
+        self.others: dict[str, int] = {}  # at most one a character
+        #: Whether piece b may follow piece a (-1: the beginning): valid[a][b].
+        self.valid: dict[int, dict[int, bool]] = {}
+        self.known = 0
+        self.edges: dict[int, tuple[list, list] | None] = {}
+        self.none: dict[int, bool] = {}
+        self.cells: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
 
     def _single(self, char: str) -> list[int]:
@@ -141,103 +154,163 @@ class Model:
                 ranks[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
         return symbols
 
-    def _follows(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives just the two. Adjacent pieces whose union is a piece would merge."""
-        if a + b in self.ids:
-            return False
-        found = self.valid.get((a, b))
+    def _number(self, char: str) -> int:
+        """A number past the pieces' ids for a character that is no piece."""
+        found = self.others.get(char)
         if found is None:
-            found = self.merged(a + b) == [a, b]
-            if len(self.valid) < MOST_PAIRS:
-                self.valid[a, b] = found
+            found = self.others[char] = len(self.names)
+            self.names.append(char)
         return found
 
-    def _whole(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        found = self.reached.get(piece)
-        if found is None:
-            found = self.reached[piece] = self.merged(piece) == [piece]
+    def _edges(self, n: int) -> tuple[list, list] | None:
+        """What stands first and last in a piece while its characters merge, each with the rank of the merge that ends it. None if merging doesn't give the piece, or not by ever worse ranks."""
+        if n in self.edges:
+            return self.edges[n]
+        rank, none = self.rank, self.no_rank
+        symbols = list(self.names[n])
+        first, last, latest = [], [], -none
+        ranks = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none or best < latest:
+                break
+            latest, i = best, ranks.index(best)
+            if i == 0:
+                first.append((symbols[0], best))
+            if i == len(ranks) - 1:
+                last.append((symbols[-1], best))
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank.get(symbols[i] + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
+        found = None if ranks else (first + [(symbols[0], none)], last + [(symbols[0], none)])
+        self.edges[n] = found  # at most one a piece or character
         return found
 
-    def viterbi(self, text: str) -> Iterator[str]:
-        """The best path's pieces, each given out as soon as all surviving paths share it; the lattice is held from the last commitment on."""
-        ids, scores, longest, bpe, valid, starts = self.ids, self.scores, self.longest, self.kind == BPE, self.valid, self.starts
-        base = 0  # committed so far
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether merging the text of pieces a and b gives just the two; a < 0: whether merging b's characters gives b."""
+        if a < 0:
+            found = self.merged(self.names[b]) == [self.names[b]]
+        else:
+            found = self._parts(a, b)
+        if self.known < MOST_PAIRS:
+            self.known += 1
+            self.valid.setdefault(a, {})[b] = found
+        return found
+
+    def _parts(self, a: int, b: int) -> bool:
+        left, right, rank = self._edges(a), self._edges(b), self.rank
+        if left is None or right is None:
+            return self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+        # what stands on either side of the border at a time must not merge before one of the two is merged into its own piece
+        left, right = left[1], right[0]
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            across = rank.get(x + y)
+            if across is not None and (across < x_ends if x_ends <= y_ends else across <= y_ends):
+                return False
+            if x_ends == y_ends == self.no_rank:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
+    def _numbers(self, text: str) -> Iterator[list[int]]:
+        """Numbers of the best path's pieces, given out as soon as all surviving paths share them; the lattice is held from the last commitment on."""
+        top, longest, bpe, scores, charge = self.trie, self.longest, self.kind == BPE, self.scores, self.charge
+        base, size, wide = 0, len(text), 2 * self.longest  # base: committed so far
         back: dict[int, int] = {0: 0}  # end of a path -> start of its last piece
+        last: dict[int, int] = {0: -1}  # -> number of its last piece
         best: dict[int, float] = {0: 0.0}
-        reach: dict[int, list[int]] = {}  # end -> starts of the pieces that end there, the longest first
-        size = len(text)
-        for end in range(1, size + 1):
-            # pieces that start where the last step ended
-            stop = start = end - 1
-            while stop < size:
-                stop += 1
-                found = starts.get(text[start:stop])
-                if found is None:
-                    break
-                if found:
-                    reach.setdefault(stop, []).append(start)
-            at = reach.pop(end, [])
-            if not at or at[-1] != start:
-                at.append(start)  # a character that is no piece
+        for start in range(size):
+            children, stop = top, start
             if bpe:
-                for start in at:
-                    piece = text[start:end]
-                    if start == 0:
-                        fits = end == 1 or self._whole(piece)
-                    else:
-                        before = text[back[start] : start]
-                        fits = before + piece not in ids
-                        if fits:
-                            fits = valid.get((before, piece))
-                            if fits is None:
-                                fits = self._follows(before, piece)
-                    if fits:
-                        back[end] = start
+                before = last.get(start)
+                if before is None:
+                    raise ValueError(f"no path through {text[max(0, start - longest) : start]!r}")
+                row = self.valid.get(before, self.none)
+                while children and stop < size:
+                    found = children.get(text[stop])
+                    if found is None:
                         break
-                else:
-                    raise ValueError(f"no path through {text[max(0, end - longest) : end]!r}")
+                    piece, children = found
+                    stop += 1
+                    # one path alone survives at an end, and the first to reach it is of the longest piece
+                    if piece >= 0 and stop not in last:
+                        fits = row.get(piece)
+                        if fits or fits is None and self._follows(before, piece):
+                            last[stop], back[stop] = piece, start
+                if start + 1 not in last and text[start] not in self.ids:
+                    piece = self._number(text[start])
+                    if self._follows(before, piece):
+                        last[start + 1], back[start + 1] = piece, start
             else:
-                top, place = None, end - 1
-                for start in at:
-                    if start < base:
-                        continue
-                    found = ids.get(text[start:end])
-                    score = best[start] + (scores[found] if found is not None else self.charge)
-                    if top is None or score > top:
-                        top, place = score, start
-                back[end], best[end] = place, top
-            if (end - base) % (2 * longest) == 0:
+                score = best[start]
+                while children and stop < size:
+                    found = children.get(text[stop])
+                    if found is None:
+                        break
+                    piece, children = found
+                    stop += 1
+                    if piece >= 0 and (stop not in best or score + scores[piece] > best[stop]):
+                        best[stop], last[stop], back[stop] = score + scores[piece], piece, start
+                if text[start] not in self.ids and (start + 1 not in best or score + charge > best[start + 1]):
+                    best[start + 1], last[start + 1], back[start + 1] = score + charge, self._number(text[start]), start
+            if start - base >= wide:
                 # ends from which a path can still grow; the latest steps back until all have met
-                live = set(range(end - longest + 1, end + 1))
+                live = {end for end in back if end > start}
                 while len(live) > 1:
-                    last = max(live)
-                    live.remove(last)
-                    live.add(max(back[last], base))
-                meet = live.pop()
+                    end = max(live)
+                    live.remove(end)
+                    live.add(max(back[end], base))
+                meet = live.pop() if live else base
                 if meet > base:
-                    yield from self._path(text, back, base, meet)
-                    floor = max(0, min(meet, end - longest))
-                    for k in [k for k in back if k < meet and k < floor]:
-                        del back[k]
-                        best.pop(k, None)
+                    yield self._path(back, last, base, meet)
+                    for end in [end for end in back if end < meet]:
+                        del back[end], last[end]
+                        best.pop(end, None)
                     base = meet
-        yield from self._path(text, back, base, len(text))
+        if size not in last:
+            raise ValueError(f"no path through {text[max(0, size - longest) :]!r}")
+        yield self._path(back, last, base, size)
 
     @staticmethod
-    def _path(text: str, back: dict[int, int], start: int, end: int) -> list[str]:
+    def _path(back: dict[int, int], last: dict[int, int], start: int, end: int) -> list[int]:
         found = []
         while end > start:
-            found.append(text[back[end] : end])
+            found.append(last[end])
             end = back[end]
         return found[::-1]
 
+    def viterbi(self, text: str) -> Iterator[str]:
+        """The best path's pieces."""
+        for part in self._numbers(text):
+            yield from map(self.names.__getitem__, part)
+
     def _encode_run(self, run: str) -> bytes:
-        out: list[int] = []
-        for piece in self.viterbi(run):
-            found = self.ids.get(piece)
-            out += [found] if found is not None else self._single(piece)
-        return np.array(out, np.int32).tobytes()
+        """Ids of a run, each part between neighbours that stand together in no piece by itself: every path has a boundary there."""
+        out, start, joined, kept = [], 0, self.joined, self.cells
+        for end in [i for i, pair in enumerate(zip(run, run[1:]), 1) if pair not in joined] + [len(run)]:
+            cell = run[start:end]
+            ids = kept.get(cell)
+            if ids is None:
+                numbers: list[int] = []
+                for part in self._numbers(cell):
+                    for n in part:
+                        if n < len(self.pieces):
+                            numbers.append(n)
+                        else:
+                            numbers += self._single(self.names[n])
+                ids = np.array(numbers, np.int32).tobytes()
+                if len(cell) <= LONGEST_KEPT and len(kept) < MOST_KEPT:
+                    kept[cell] = ids
+            out.append(ids)
+            start = end
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; an empty one has none. U+2581 in the text itself is spelt in bytes, so that decoding gives it back."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -234,6 +235,22 @@ def test_sentencepiece_matches_the_library(texts):
     assert model.decode(model.encode("a▁ ▁▁b")) == "a▁ ▁▁b"
 
 
+def test_pairs_of_pieces_against_merging():
+    rng = random.Random(5)
+    pieces = [(c, -100.0 - i, sentencepiece.NORMAL) for i, c in enumerate("abc")]
+    for k in range(60):
+        text = "".join(rng.choices("abc", k=rng.randint(2, 5)))
+        pieces += [(text, -float(rng.randint(0, 40)), sentencepiece.NORMAL)]
+    small = sentencepiece.Model.of(list({p[0]: p for p in pieces}.values()), sentencepiece.BPE)
+    large = sentencepiece.Model(sentencepiece.default_model())
+    for model, tries in ((small, None), (large, 20000)):
+        ids = list(model.ids.values())
+        for a, b in ((a, b) for a in ids for b in ids) if tries is None else (rng.choices(ids, k=2) for _ in range(tries)):
+            x, y = model.names[a], model.names[b]
+            if model.merged(x) == [x] and model.merged(y) == [y]:
+                assert model._follows(a, b) == (model.merged(x + y) == [x, y]), (x, y)
+
+
 def test_unigram_viterbi_against_brute_force():
     pieces = [("<unk>", 0.0, 2), *[(p, s, 1) for p, s in (("a", -1.0), ("b", -1.5), ("ab", -1.8), ("ba", -2.0), ("aab", -2.2), ("bab", -3.1), ("▁a", -1.1), ("▁", -2.0))]]
     model = sentencepiece.Model.of(pieces, sentencepiece.UNIGRAM)
