@@ -28,9 +28,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: The library's charge for a character that no piece covers, below the least score.
 UNKNOWN_CHARGE = 10.0
-#: Words that each worker keeps, and the longest kept. Others are encoded whenever they come.
-MOST_KEPT = 600_000
-MOST_PAIRS = 600_000
+#: Words, parts and pairs of pieces that each worker keeps in a generation, and the longest word or part kept. Others are worked out whenever they come.
+MOST_KEPT = 200_000
+MOST_PAIRS = 300_000
 LONGEST_KEPT = 40
 
 
@@ -65,6 +65,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class Latest:
+    """What was used latest: two generations of `most` entries, of which the older goes once the newer is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def older(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+
 class Model:
     """Pieces and settings of a serialised model. Its normaliser must not map characters."""
 
@@ -128,8 +148,8 @@ class Model:
         self.known = 0
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.none: dict[int, bool] = {}
-        self.cells: dict[str, bytes] = {}
-        self.kept: dict[str, bytes] = {}
+        #: Ids of words and of their parts alike, as a part by itself is encoded as a word would be.
+        self.kept = Latest(MOST_KEPT)
 
     def _single(self, char: str) -> list[int]:
         """Ids of a character that is no piece."""
@@ -195,9 +215,11 @@ class Model:
             found = self.merged(self.names[b]) == [self.names[b]]
         else:
             found = self._parts(a, b)
-        if self.known < MOST_PAIRS:
-            self.known += 1
-            self.valid.setdefault(a, {})[b] = found
+        if self.known >= MOST_PAIRS:
+            self.known = 0
+            self.valid.clear()
+        self.known += 1
+        self.valid.setdefault(a, {})[b] = found
         return found
 
     def _parts(self, a: int, b: int) -> bool:
@@ -293,10 +315,10 @@ class Model:
 
     def _encode_run(self, run: str) -> bytes:
         """Ids of a run, each part between neighbours that stand together in no piece by itself: every path has a boundary there."""
-        out, start, joined, kept = [], 0, self.joined, self.cells
+        out, start, joined, kept = [], 0, self.joined, self.kept
         for end in [i for i, pair in enumerate(zip(run, run[1:]), 1) if pair not in joined] + [len(run)]:
             cell = run[start:end]
-            ids = kept.get(cell)
+            ids = None if len(cell) == len(run) else kept.new.get(cell) or kept.older(cell)
             if ids is None:
                 numbers: list[int] = []
                 for part in self._numbers(cell):
@@ -306,8 +328,8 @@ class Model:
                         else:
                             numbers += self._single(self.names[n])
                 ids = np.array(numbers, np.int32).tobytes()
-                if len(cell) <= LONGEST_KEPT and len(kept) < MOST_KEPT:
-                    kept[cell] = ids
+                if len(cell) <= LONGEST_KEPT and len(cell) < len(run):
+                    kept.keep(cell, ids)
             out.append(ids)
             start = end
         return b"".join(out)
@@ -327,11 +349,11 @@ class Model:
     def _spaced(self, text: str) -> np.ndarray:
         kept, out = self.kept, []
         for run in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.by_word else [text] if text else []:
-            ids = kept.get(run)
+            ids = kept.new.get(run) or kept.older(run)
             if ids is None:
                 ids = self._encode_run(run)
-                if len(run) <= LONGEST_KEPT and len(kept) < MOST_KEPT:
-                    kept[run] = ids
+                if len(run) <= LONGEST_KEPT:
+                    kept.keep(run, ids)
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
