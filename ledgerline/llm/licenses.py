@@ -71,42 +71,59 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: One of these stands in each known sentence, so a text without them has none; checked below.
 MARKS = ("licens", "copyright", "rights reserved", "warrant", "permi", "redistribut", "public domain", "liable", "cc0")
-#: A sentence may be wrapped over so many lines.
-MOST_LINES = 12
 
 _IDS = tuple(SENTENCES)
 _TEXTS = tuple((s, _IDS.index(k)) for k, v in SENTENCES.items() for s in v)
 assert all(any(m in s for m in MARKS) for s, _ in _TEXTS)
 
 
+def _tree() -> str:
+    """The known sentences as one pattern, a tree by words. Words are parted by a space or a line feed; the longest sentence wins, and each ends before a line feed."""
+    tree: dict = {}
+    for sentence, _ in _TEXTS:
+        node = tree
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = ["[ \\n]" + word + pattern(rest) for word, rest in node.items() if word] + ["(?=\\n)"] * ("" in node)
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return "(?:" + "|".join(word + pattern(rest) for word, rest in tree.items()) + ")"
+
+
+#: Where a unit starts: a dated or (c) copyright line, or a known sentence.
+_START = "(?<=\\n)(?=(copyright[ \\n](?:c[ \\n])?(?:19|20)[0-9]{2}\\b|" + _tree() + "))"
+
+
 def normalise(text: Column) -> Column:
-    """Lower case; each run of anything but letters and digits is one space; a dated or (c) copyright line becomes "copyright notice"."""
-    flat = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
-    return let(flat, lambda s: F.when(s.rlike("^copyright (c )?(19|20)[0-9]{2}\\b"), F.lit("copyright notice")).otherwise(s))
+    """Lower case; each run of anything but letters and digits is one space, or one line feed where a sentence or line may end in it; a line feed at either end."""
+    ends = F.regexp_replace(F.concat(F.lit("\n"), F.lower(text), F.lit("\n")), "[.!?;:]\\s", "\n")
+    return F.regexp_replace(F.regexp_replace(ends, "[^\\p{L}\\p{N}\\n]+", " "), " ?\\n[ \\n]*", "\n")
 
 
 def sentence_ids(text: Column) -> Column:
-    """array<int> of the known sentences in a text, in order. Sentences end at .!?;: before white space, or at a line's end; known ones wrapped over lines are found, too."""
+    """array<int> of the known sentences in a text, in order.
+
+    Sentences may end at .!?;: before white space, or at a line's end. A known one starts and ends at such a place and may run over any
+    number of them, so wrapped ones and those with a mark inside are found; where several start, the longest counts.
+    """
     known = F.array(*[F.lit(s) for s, _ in _TEXTS])
     number = F.array(*[F.lit(n) for _, n in _TEXTS])
 
-    def of_units(units: Column) -> Column:
-        def at(unit: Column, i: Column) -> Column:
-            lines = F.sequence(F.lit(1), F.when(unit.rlike("[.!?;:]\\s*$"), F.lit(1)).otherwise(F.lit(MOST_LINES)))
-            # the longest run of lines that is a known sentence; runs end with a sentence
-            hits = F.filter(F.transform(lines, lambda m: F.array_position(known, normalise(F.array_join(F.slice(units, i + 1, m), " ")))), lambda p: p > 0)
-            return F.get(hits, F.size(hits) - 1)
-
-        return F.transform(F.filter(F.transform(units, at), lambda p: p.isNotNull()), lambda p: F.get(number, (p - 1).cast("int")))
+    def number_of(hit: Column) -> Column:
+        # a hit that is no known sentence is a dated copyright line
+        at = F.array_position(known, F.translate(hit, "\n", " "))
+        return F.when(at > 0, F.get(number, (at - 1).cast("int"))).otherwise(F.lit(_IDS.index("copyright")))
 
-    units = F.split(text, "(?<=[.!?;:])\\s+|[ \\t]*\\n+\\s*")
     low = F.lower(text)
     marked = F.lit(False)
     for m in MARKS:
         marked = marked | F.contains(low, F.lit(m))
     # words of a mark may be parted by a line's end or by punctuation
-    marked = marked | low.rlike("rights\\W+reserved|public\\W+domain")
-    return F.when(marked, let(units, of_units)).otherwise(F.array().cast("array<int>"))
+    marked = marked | low.rlike("rights[\\W_]+reserved|public[\\W_]+domain")
+    return F.when(marked, F.transform(F.regexp_extract_all(normalise(text), F.lit(_START), 1), number_of)).otherwise(F.array().cast("array<int>"))
 
 
 def licenses_of(ids: Column) -> Column:

@@ -205,6 +205,18 @@ def test_licenses(spark):
     assert [rows[i]["licenses"] for i in range(7)] == ["CC-BY-NC-4.0", "All-Rights-Reserved", "MIT", "", "", "", "MIT"]
 
 
+def test_license_sentences_with_marks_inside(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version {} of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"
+    grant = "\n".join(licenses.SENTENCES["bsd-endorse"][0].split())
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"
+    texts = ["Code. " + gpl.format(":", 3), gpl.format(";", 2), mpl, "/*\n * SPDX-License-Identifier: MIT\n */", grant, "Released under\nthe MIT License"]
+    texts += [re.sub("spdx license identifier (.*)", lambda m: "// SPDX-License-Identifier: " + m[1].replace(" ", "-"), s) for v in licenses.SENTENCES.values() for s in v if s.startswith("spdx")]
+    rows = run(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [rows[i]["licenses"] for i in range(6)] == ["GPL-3.0", "GPL-2.0", "MPL-2.0", "MIT", "", "MIT"]
+    assert [rows[i]["sentences"] for i in (0, 3, 4, 5)] == ["gpl-free3,gpl-hope", "mit-name", "bsd-endorse", "mit-name,mit-name"]
+    assert len(texts) > 20 and all(rows[i]["licenses"] and rows[i]["n_sentences"] == 1 for i in range(6, len(texts)))
+
+
 def test_pii(spark):
     texts = ["Mail ann.12@mail.example.com or call +1 (201) 555-0187.", "ann.12@mail.example.com from 10.1.2.3, card 4111111111111111", "Mrs. Smith met Mr. John Miller and Г-жа Иванова", "password=0a1b2c3d4e here", "plain 12 text 4.0.", None]
     rows = run(pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
