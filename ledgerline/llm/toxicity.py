@@ -3,8 +3,8 @@
 A word's input joins its hashed embedding with that of its character runs; both
 carry log odds counted on the training sample, those of a training document
 without its own fold. Overlapping windows of words go through a GRU in either
-direction, attention pools the states, and a text scores as its most toxic
-window. The network is trained in numpy on a bounded sample of labelled rows.
+direction, one from each word on, attention pools the states, and a text scores
+as its most toxic window. The network is trained in numpy on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from .words import Words, mix, pieces, texts
 
 #: At most so many labelled documents of each class are learnt from.
 MOST_PER_CLASS = 1500
-WINDOW, STRIDE = 40, 32
+WINDOW = 40
+#: So many windows go through the network at once.
+CHUNK = 1024
 WORD_BITS, CHAR_BITS, LEARNT_BITS = 20, 18, 10
 RUNS = (5,)
 LEARNT, HIDDEN, ATTENTION = 4, 8, 8
@@ -92,12 +94,11 @@ class Inputs:
 
 
 def windows_of(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start word, words) of the overlapping windows that cover each document; the last one ends with it."""
-    number = np.where(count > WINDOW, -(-(count - WINDOW) // STRIDE) + 1, np.minimum(count, 1))
+    """(document, start word, words) of all windows of a document, one from each word on that has a whole window left; a shorter document is one window."""
+    number = np.where(count > WINDOW, count - WINDOW + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(count)), number)
     nth = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(number)])[:-1], number)
-    start = np.minimum(nth * STRIDE, np.maximum(count[doc] - WINDOW, 0))
-    return doc, first[:-1][doc] + start, np.minimum(count[doc], WINDOW)
+    return doc, first[:-1][doc] + nth, np.minimum(count[doc], WINDOW)
 
 
 def _tanh(x: np.ndarray) -> np.ndarray:
@@ -112,16 +113,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gru(xs: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: list | None) -> np.ndarray:
-    """States (time, window, HIDDEN) from projected inputs (time, window, 3 HIDDEN)."""
-    h = np.zeros((xs.shape[1], HIDDEN), F4)
-    out = np.empty((*xs.shape[:2], HIDDEN), F4)
-    for t in range(len(xs)):
-        hu = h @ u
-        zr = _sigmoid(xs[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+def _gru(projected: np.ndarray, at: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: list | None) -> np.ndarray:
+    """States (time, window, HIDDEN) from the words' projected inputs (word, 3 HIDDEN) and the windows' words (time, window)."""
+    h = np.zeros((at.shape[1], HIDDEN), F4)
+    out = np.empty((*at.shape, HIDDEN), F4)
+    for t in range(len(at)):
+        xs, hu = projected.take(at[t], 0), h @ u
+        zr = _sigmoid(xs[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         hn = hu[:, 2 * HIDDEN :]
-        n = _tanh(xs[t, :, 2 * HIDDEN :] + r * hn)
+        n = _tanh(xs[:, 2 * HIDDEN :] + r * hn)
         new = n + z * (h - n)
         if mask is not None:
             new = np.where(mask[t][:, None], new, h)
@@ -157,9 +158,9 @@ def _forward(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray, keep:
     mask = None if (length == len(at)).all() else np.arange(len(at))[:, None] < length
     states, kept = [], ([], [])
     for k, (way, back) in enumerate((("f", 1), ("b", -1))):
-        projected = x @ net["w" + way] + net["c" + way]
         m = mask[::back] if mask is not None else None
-        states.append(_gru(projected[at[::back]], m, net["u" + way], kept[k] if keep is not None else None)[::back])
+        projected = x @ net["w" + way] + net["c" + way]
+        states.append(_gru(projected, at[::back], m, net["u" + way], kept[k] if keep is not None else None)[::back])
     h = np.concatenate(states, 2)
     a = _tanh(h @ net["wa"] + net["ca"])
     e = a @ net["va"]
@@ -173,6 +174,24 @@ def _forward(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray, keep:
     return pooled @ net["wo"] + net["co"][0]
 
 
+def _logits(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """_forward, CHUNK windows at a time."""
+    parts = [slice(k, k + CHUNK) for k in range(0, len(length), CHUNK)]
+    return np.concatenate([_forward(net, x, at[:, part], length[part]) for part in parts])
+
+
+def _gradients(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray, d: np.ndarray) -> tuple[dict, np.ndarray]:
+    """_backward, CHUNK windows at a time; those without a gradient have no part in it."""
+    g, dx, used = {}, np.zeros_like(x), np.flatnonzero(d)
+    for k in range(0, len(used), CHUNK):
+        some, keep = used[k : k + CHUNK], {}
+        _forward(net, x, at[:, some], length[some], keep)
+        part, more = _backward(net, x, at[:, some], d[some], keep)
+        g = {name: g[name] + v if g else v for name, v in part.items()}
+        dx += more
+    return g, dx
+
+
 def _backward(net: dict, x: np.ndarray, at: np.ndarray, d: np.ndarray, keep: dict) -> tuple[dict, np.ndarray]:
     """Gradients of the network and of x, from those of the logits."""
     g = {"wo": keep["pooled"].T @ d, "co": d.sum(keepdims=True)}
@@ -196,6 +215,41 @@ def _backward(net: dict, x: np.ndarray, at: np.ndarray, d: np.ndarray, keep: dic
     return g, dx
 
 
+def _run_logits(net: dict, x: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """What _forward gives for the whole windows from each word of a run on, WINDOW - 1 less than it has words: a step reads its words side by side."""
+    n = len(run) - WINDOW + 1
+    half = np.repeat(np.array([0.5, 1], F4), (2 * HIDDEN, HIDDEN))  # a sigmoid is a tanh of half
+    states = np.empty((2, WINDOW, HIDDEN, n), F4)
+    for k, way in enumerate("fb"):
+        inputs = np.ascontiguousarray(((x @ net["w" + way] + net["c" + way]) * half)[run].T)
+        u = np.ascontiguousarray((net["u" + way] * half).T)
+        h, hu, zr, m = np.zeros((HIDDEN, n), F4), np.empty((3 * HIDDEN, n), F4), np.empty((2 * HIDDEN, n), F4), np.empty((HIDDEN, n), F4)
+        for t in range(WINDOW) if way == "f" else reversed(range(WINDOW)):
+            now = inputs[:, t : t + n]
+            np.matmul(u, h, out=hu)
+            np.add(now[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= F4(0.5)
+            zr += F4(0.5)
+            np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=m)
+            m += now[2 * HIDDEN :]
+            np.tanh(m, out=m)
+            new = states[k, t]
+            np.subtract(h, m, out=new)
+            new *= zr[:HIDDEN]
+            new += m
+            h = new
+    e, value = np.empty((WINDOW, n), F4), np.empty((WINDOW, n), F4)
+    wa, ca = np.ascontiguousarray(net["wa"].T), net["ca"][:, None]
+    for t in range(WINDOW):
+        a = _tanh(wa[:, :HIDDEN] @ states[0, t] + wa[:, HIDDEN:] @ states[1, t] + ca)
+        e[t] = net["va"] @ a
+        value[t] = net["wo"][:HIDDEN] @ states[0, t] + net["wo"][HIDDEN:] @ states[1, t]
+    e -= e.max(0)
+    np.exp(e, out=e)
+    return (e * value).sum(0) / e.sum(0) + net["co"][0]
+
+
 def _window_inputs(inputs: Inputs, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """(time, window) numbers of distinct words; beyond a window's end, its last word again."""
     t = np.minimum(np.arange(int(length.max()))[:, None], length - 1)
@@ -271,8 +325,7 @@ def train(sample: list[tuple[str, int]], seed: int = 4, steps: int = STEPS) -> d
         chosen = np.concatenate([rng.choice(c, min(len(c), DOCS_A_STEP // 2), replace=False) for c in classes])
         dropped: list = []
         x, at, length, doc = batch(chosen, dropped)
-        keep: dict = {}
-        logit = _forward(net, x, at, length, keep)
+        logit = _logits(net, x, at, length)
         # a clean document's windows are all clean; of a toxic one, the most toxic counts
         target, p = y[chosen], 1 / (1 + np.exp(-logit))
         d = np.zeros(len(logit), F4)
@@ -284,7 +337,7 @@ def train(sample: list[tuple[str, int]], seed: int = 4, steps: int = STEPS) -> d
         d[pos] = (p[pos] - 1) / max(1, (target == 1).sum())
         d[neg] = 0.5 * p[neg] / max(1, len(neg))
         d[hard] += p[hard] / max(1, (target == 0).sum())
-        g, dx = _backward(net, x, at, d, keep)
+        g, dx = _gradients(net, x, at, length, d)
         dl, base = np.where(np.concatenate(dropped)[:, None], F4(0), dx[:, EXTRA:]), 0
         for name in ("word", "char"):
             g[name] = np.zeros_like(net[name])
@@ -309,7 +362,7 @@ def train(sample: list[tuple[str, int]], seed: int = 4, steps: int = STEPS) -> d
             chosen = classes[b][k : k + DOCS_A_STEP]
             x, at, length, doc = batch(chosen)
             last = np.full(len(chosen), -np.inf)
-            np.maximum.at(last, doc, _forward(net, x, at, length))
+            np.maximum.at(last, doc, _logits(net, x, at, length))
             scores[chosen] = last
     seen = np.isfinite(scores)
     s, t = scores[seen], y[seen]
@@ -338,11 +391,15 @@ def score_texts(net: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(inputs.word):
         x = np.concatenate([inputs.odds(net["word_odds"], net["char_odds"]), inputs.learnt(net)], 1)
         doc, start, length = windows_of(inputs.first, inputs.count)
-        whole = length == WINDOW
-        for part in (np.flatnonzero(whole), np.flatnonzero(~whole)):
-            for k in range(0, len(part), 4096):
-                some = part[k : k + 4096]
-                np.maximum.at(top, doc[some], _forward(net, x, _window_inputs(inputs, start[some], length[some]), length[some]))
+        whole = np.flatnonzero(length == WINDOW)
+        for k in range(0, len(inputs.of) - WINDOW + 1, CHUNK):
+            some = whole[slice(*np.searchsorted(start[whole], (k, k + CHUNK)))]
+            if len(some):
+                np.maximum.at(top, doc[some], _run_logits(net, x, inputs.of[k : k + CHUNK + WINDOW - 1])[start[some] - k])
+        part = np.flatnonzero(length < WINDOW)
+        for k in range(0, len(part), CHUNK):
+            some = part[k : k + CHUNK]
+            np.maximum.at(top, doc[some], _forward(net, x, _window_inputs(inputs, start[some], length[some]), length[some]))
     logit = np.clip(top - net["shift"][0], -30, 30)
     return np.where(np.isfinite(top), 1 / (1 + np.exp(-logit)), min(base, 0.49))
 

@@ -299,6 +299,23 @@ def test_toxicity_learns(spark):
     assert ((scores[:80] >= 0.5) == np.array([y for _, y in sample[160:]])).mean() > 0.9 and (scores >= 0).all() and (scores <= 1).all()
 
 
+def test_toxicity_reads_all_windows():
+    net = toxicity.train([("a b", 1), ("c d", 0)], steps=0)
+    rng = np.random.default_rng(8)
+    net["word_odds"] = rng.normal(size=len(net["word_odds"])).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcdefg"), 3)) for _ in range(n)) for n in (3, 39, 40, 41, 75, 1500)]
+    for text, score in zip(texts, toxicity.score_texts(net, *toxicity._bytes(texts)), strict=True):
+        w = text.split()
+        alone = toxicity.score_texts(net, *toxicity._bytes([" ".join(w[k : k + 40]) for k in range(max(1, len(w) - 39))]))
+        assert abs(score - alone.max()) < 1e-5
+        inputs = toxicity.Inputs(*toxicity._bytes([text]))
+        doc, start, length = toxicity.windows_of(inputs.first, inputs.count)
+        assert start.tolist() == list(range(max(1, len(w) - 39))) and set(length) == {min(40, len(w))}
+        x = np.concatenate([inputs.odds(net["word_odds"], net["char_odds"]), inputs.learnt(net)], 1)
+        logit = toxicity._logits(net, x, toxicity._window_inputs(inputs, start, length), length).max() - net["shift"][0]
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-5
+
+
 def test_gradients():
     rng = np.random.default_rng(7)
     net = toxicity.train([("a b", 1), ("c d", 0)], steps=0)
