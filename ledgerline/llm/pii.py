@@ -35,7 +35,7 @@ _TITLE = "|".join(t.replace(".", "\\.") for t in (*FEMALE, *MALE))
 #: Types, first match wins. Lookarounds keep longer runs of digits or letters from matching in part.
 PATTERNS: dict[str, str] = {
     "email": "[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "secret": "(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey)\\s{0,3}[=:]\\s{0,3}(?:\"[^\"\\s]{4,200}\"|'[^'\\s]{4,200}'|[^\\s\"',;]{4,200})",
+    "secret": "(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)\\s{0,3}[=:]\\s{0,3}(?:\"[^\"\\s]{4,}\"|'[^'\\s]{4,}'|[^\\s\"',;]{4,})",
     "aws_key": "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -65,9 +65,8 @@ def _number(stream: Column, at: Column, least: int, most: int) -> Column:
     return F.conv(six, 16, 10).cast("long") % (most - least + 1) + least
 
 
-def _like(entity: Column, stream: Column, keep: Column, lower: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+def _like(entity: Column, stream: Column, keep: Column, lower: str = "abcdefghijklmnopqrstuvwxyz", upper: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
     """Each character after the first `keep` becomes another of its class; punctuation, space and other letters stay."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def one(c: Column, i: Column) -> Column:
         pick = lambda letters: F.substring(F.lit(letters), _number(stream, i, 1, len(letters)).cast("int"), F.lit(1))
@@ -114,7 +113,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:
         head = F.regexp_extract(entity, "^([A-Za-z_]+\\s*[=:]\\s*[\"']?)", 1)
         # hexadecimal values stay so
         value = F.substring(entity, F.char_length(head) + 1, F.char_length(entity))
-        return F.concat(head, F.when(value.rlike("^[0-9a-f]+[\"']?$"), _like(value, s, F.lit(0), "abcdef")).otherwise(_like(value, s, F.lit(0))))
+        return F.concat(head, F.when(value.rlike("^[0-9A-Fa-f]+[\"']?$"), _like(value, s, F.lit(0), "abcdef", "ABCDEF")).otherwise(_like(value, s, F.lit(0))))
 
     def phone(s: Column) -> Column:
         return _like(entity, s, F.when(entity.startswith("+"), F.char_length(F.regexp_extract(entity, "^(\\+[0-9]{1,3})", 1))).otherwise(0))

@@ -230,6 +230,18 @@ def test_pii(spark):
     assert re.fullmatch("password=[0-9a-f]{10} here", rows[3]["text"])
 
 
+def test_secrets_in_upper_case_and_long_ones(spark):
+    long = "aB3." * 150
+    texts = ['TOKEN = "9233A8BC01"', f"API_KEY={long} end", f"Password: '{long}' end", "Token: abcd1234"]
+    rows = run(pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [rows[i]["entity_kinds"] for i in range(4)] == ["secret"] * 4 and all(rows[i]["n_entities"] == 1 and rows[i]["text"] != texts[i] for i in range(4))
+    assert re.fullmatch('TOKEN = "[0-9A-F]{10}"', rows[0]["text"]) and re.fullmatch("Token: [a-z]{4}[0-9]{4}", rows[3]["text"])
+    value = r"((?:[a-z][A-Z][0-9]\.){150})"
+    for i, form in ((1, f"API_KEY={value} end"), (2, f"Password: '{value}' end")):
+        new = re.fullmatch(form, rows[i]["text"])[1]
+        assert sum(a == b for a, b in zip(new, long, strict=True) if a != ".") < 100
+
+
 def test_surrogates_differ(spark):
     # 254 ** 4 addresses leave room; two digits of a narrow format collide and draw again
     entities = spark.createDataFrame([(f"{a}.{b}@x{c}.example.com",) for a in "abcde" for b in range(10) for c in range(3)], "entity string")
