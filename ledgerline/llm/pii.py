@@ -2,13 +2,14 @@
 
 Detected entities are replaced by made-up ones of the same type and format. A
 surrogate is drawn by a keyed hash of its entity, so an entity has the same one
-everywhere; entities whose surrogates collide, or hit an entity of the corpus,
-draw again until all differ. Names keep their gender and script.
+everywhere, however it is spelt; entities whose surrogates collide, or hit an
+entity of the corpus, draw again until all differ. Given and family names are
+drawn by themselves and keep their gender and script.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,10 +87,40 @@ def _digits(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, "[^0-9]", ""), ""), lambda d: d.cast("int"))
 
 
-def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:
-    """The `attempt`th surrogate of an entity."""
-    keyed = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban"), F.regexp_replace(entity, "[ .()-]", "")).otherwise(entity)
-    attempt = attempt.cast("string")
+#: Separators of spelt numbers, and a number's country code (kept).
+APART = "[ .()-]"
+COUNTRY = "^(\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
+FAMILY, GIVEN_F, GIVEN_M = "family", "given f", "given m"
+
+
+def key_of(entity: Column, kind: Column) -> Column:
+    """What all spellings of an entity share."""
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban"), F.regexp_replace(entity, APART, "")).otherwise(entity)
+
+
+def _name_parts(entity: Column) -> tuple[Column, Column, Column, Column]:
+    """Title, given name (or "") and family name of a titled name, and the kind of its given name."""
+    title = F.regexp_extract(entity, f"^({_TITLE}) ", 1)
+    names = F.split(F.substring(entity, F.char_length(title) + 2, F.char_length(entity)), " ")
+    return title, F.when(F.size(names) > 1, F.get(names, F.lit(0))).otherwise(F.lit("")), F.element_at(names, -1), F.when(title.isin(*FEMALE), F.lit(GIVEN_F)).otherwise(F.lit(GIVEN_M))
+
+
+def spelt(entity: Column, kind: Column, new: Column) -> Column:
+    """The surrogate of a key as an entity spells it: numbers take the entity's separators, mail addresses its capitals."""
+
+    def number(n: Column) -> Column:
+        place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), APART, ""))
+        return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(APART), c).otherwise(F.substring(n, place(i), F.lit(1)))), "")
+
+    def capitals(part: Column, old: Column) -> Column:
+        return F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(F.substring(old, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+
+    mail = F.concat_ws("@", *[capitals(F.substring_index(new, "@", n), F.substring_index(entity, "@", n)) for n in (1, -1)])
+    return F.when(kind.isin("card", "phone", "iban") & entity.rlike(APART), number(new)).when((kind == "email") & entity.rlike("[A-Z]"), mail).otherwise(new)
+
+
+def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
+    """The `attempt`th surrogate of a key."""
 
     def email(s: Column) -> Column:
         local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
@@ -116,49 +147,69 @@ def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:
         return F.concat(head, F.when(value.rlike("^[0-9A-Fa-f]+[\"']?$"), _like(value, s, F.lit(0), "abcdef", "ABCDEF")).otherwise(_like(value, s, F.lit(0))))
 
     def phone(s: Column) -> Column:
-        return _like(entity, s, F.when(entity.startswith("+"), F.char_length(F.regexp_extract(entity, "^(\\+[0-9]{1,3})", 1))).otherwise(0))
-
-    def name(s: Column) -> Column:
-        title = F.regexp_extract(entity, f"^({_TITLE}) ", 1)
-        script = F.when(entity.rlike("\\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-        female = title.isin(*FEMALE)
-        listed = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), _number(s, F.lit(at), 0, len(names) - 1).cast("int"))
-        given = reduce(lambda rest, k: F.when((script == k[0]) & (female == (k[1] == "f")), listed(GIVEN[k], 0)).otherwise(rest), GIVEN, F.lit(""))
-        family = F.when(script == "cyrillic", F.concat(listed(STEMS["cyrillic"], 2), listed(STEMS["cyrillic"], 4), listed(ENDS["cyrillic"], 6))).otherwise(F.concat(listed(STEMS["latin"], 2), F.lower(listed(STEMS["latin"], 4)), listed(ENDS["latin"], 6)))
-        family = F.initcap(family)
-        return F.concat(title, F.lit(" "), F.when(entity.rlike(f"^(?:{_TITLE}) \\S+ \\S+$"), F.concat(given, F.lit(" "), family)).otherwise(family))
+        return _like(entity, s, F.char_length(F.regexp_extract(entity, COUNTRY, 1)))
+
+    def listed(s: Column, names: tuple, at: int) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in names]), _number(s, F.lit(at), 0, len(names) - 1).cast("int"))
+
+    def by_script(make: Callable[[str], Column]) -> Column:
+        return F.when(entity.rlike("\\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
+
+    def family(s: Column) -> Column:
+        return F.initcap(by_script(lambda k: F.concat(listed(s, STEMS[k], 2), F.lower(listed(s, STEMS[k], 4)), listed(s, ENDS[k], 6))))
+
+    def given(s: Column, gender: str) -> Column:
+        return by_script(lambda k: listed(s, GIVEN[k, gender], 0))
 
     def made(s: Column) -> Column:
         return (
-            F.when(kind == "email", email(s)).when(kind == "card", card(s)).when(kind == "ipv4", ipv4(s)).when(kind == "secret", secret(s)).when(kind == "phone", phone(s)).when(kind == "name", name(s))
+            F.when(kind == "email", email(s)).when(kind == "card", card(s)).when(kind == "ipv4", ipv4(s)).when(kind == "secret", secret(s)).when(kind == "phone", phone(s))
+            .when(kind == FAMILY, family(s)).when(kind == GIVEN_F, given(s, "f")).when(kind == GIVEN_M, given(s, "m"))
             .when(kind == "aws_key", _like(entity, s, F.lit(4))).when(kind == "iban", _like(entity, s, F.lit(2))).otherwise(_like(entity, s, F.lit(0)))
         )
 
-    return let(_nibbles(kind, keyed, attempt), made)
+    return let(_nibbles(kind, entity, F.lit(str(attempt))), made)
 
 
-def surrogates(entities: DataFrame) -> DataFrame:
-    """(entity, kind, surrogate) for the distinct entities: surrogates differ from each other and from all entities.
+def _drawn(known: DataFrame) -> DataFrame:
+    """(kind, key, surrogate) for distinct (kind, key): surrogates differ from each other and from all keys.
 
-    Each round draws for the entities that have none yet. Of those that drew the same, the least keeps it; a draw that is an entity or
-    was given before is void.
+    Each round draws for the keys that have none yet. Of those that drew the same, the least keeps it; a draw that is a key or was given
+    before is void.
     """
-    known = written(entities.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "pii-entities")
     open_, given = known, None
     for attempt in range(MOST_ROUNDS):
-        drawn = written(open_.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.lit(attempt))), "pii-drawn")
-        best = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity"))
-        best = best.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
+        drawn = written(open_.withColumn("surrogate", surrogate(F.col("key"), F.col("kind"), attempt)), "pii-drawn")
+        best = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "key")).alias("_b")).select("surrogate", "_b.*")
+        best = best.join(known.select(F.col("key").alias("surrogate")), "surrogate", "left_anti")
         if given is not None:
             best = best.join(given.select("surrogate"), "surrogate", "left_anti")
-        won = written(drawn.join(best, ["surrogate", "entity"], "left_semi").select("entity", "kind", "surrogate"), "pii-won")
+        won = written(best.select("kind", "key", "surrogate"), "pii-won")
         given = won if given is None else given.unionByName(won)
-        open_ = drawn.join(won.select("entity"), "entity", "left_anti").select("entity", "kind")
+        open_ = drawn.join(won, ["kind", "key"], "left_anti").select("kind", "key")
         if open_.isEmpty():
             return given
     raise ValueError(f"{open_.count()} entities have no surrogate of their own after {MOST_ROUNDS} rounds; their formats are too narrow")
 
 
+def surrogates(entities: DataFrame) -> DataFrame:
+    """(entity, kind, surrogate) for the distinct entities. Spellings of one key get the surrogate of the key as they spell it.
+
+    A name's given and family name have surrogates of their own, whatever title and names they stand with.
+    """
+    kinds = entities.select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
+    known = written(kinds.withColumn("key", key_of(F.col("entity"), F.col("kind"))), "pii-entities")
+    title, given, family, gender = _name_parts(F.col("entity"))
+    plain, names = known.filter("kind <> 'name'"), known.filter("kind = 'name'").select("entity", "kind", title.alias("title"), given.alias("given"), family.alias("family"), gender.alias("gender"))
+    keys = plain.select("kind", "key").unionByName(names.select(F.lit(FAMILY).alias("kind"), F.col("family").alias("key"))).unionByName(names.filter("given <> ''").select(F.col("gender").alias("kind"), F.col("given").alias("key")))
+    drawn = _drawn(written(keys.distinct(), "pii-keys"))
+    plain = plain.join(drawn, ["kind", "key"]).select("entity", "kind", spelt(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("surrogate"))
+    families = drawn.filter(F.col("kind") == FAMILY).select(F.col("key").alias("family"), F.col("surrogate").alias("new_family"))
+    givens = drawn.filter(F.col("kind").isin(GIVEN_F, GIVEN_M)).select(F.col("kind").alias("gender"), F.col("key").alias("given"), F.col("surrogate").alias("new_given"))
+    names = names.join(families, "family").join(givens, ["gender", "given"], "left")
+    return plain.unionByName(names.select("entity", "kind", F.concat_ws(" ", "title", "new_given", "new_family").alias("surrogate")))
+
+
 def pseudonymise(docs: DataFrame) -> DataFrame:
     """docs with each entity in text replaced, and n_entities (bigint) and entity_kinds (sorted, joined by commas).
 

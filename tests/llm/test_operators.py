@@ -242,6 +242,17 @@ def test_secrets_in_upper_case_and_long_ones(spark):
         assert sum(a == b for a, b in zip(new, long, strict=True) if a != ".") < 100
 
 
+def test_spellings_of_one_entity_agree(spark):
+    spelt = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "+1 (201) 555-0187", "+1 201 555 0187", "+12015550187", "Ann.Lee@mail.example.com", "ann.lee@mail.example.com", "Mr. John Miller", "Mr. Miller", "Mrs. Miller", "Herr John Smith"]
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in spelt], "entity string")).collect()}
+    bare = [re.sub("[ ()-]", "", got[e]) for e in spelt[:6]]
+    assert len(set(bare[:3])) == 1 and len(set(bare[3:])) == 1 and bare[3].startswith("+1") and set(bare).isdisjoint(re.sub("[ ()-]", "", e) for e in spelt)
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[spelt[3]]) and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", got[spelt[0]])
+    assert got[spelt[6]].lower() == got[spelt[7]] and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[a-z]{4}\.[a-z]{7}\.com", got[spelt[6]])
+    mr, given, family = got["Mr. John Miller"].split()
+    assert (got["Mr. Miller"], got["Mrs. Miller"]) == (f"Mr. {family}", f"Mrs. {family}") and got["Herr John Smith"].split()[:2] == ["Herr", given]
+
+
 def test_surrogates_differ(spark):
     # 254 ** 4 addresses leave room; two digits of a narrow format collide and draw again
     entities = spark.createDataFrame([(f"{a}.{b}@x{c}.example.com",) for a in "abcde" for b in range(10) for c in range(3)], "entity string")
