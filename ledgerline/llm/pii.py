@@ -10,6 +10,7 @@ drawn by themselves and keep their gender and script.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import let, table, with_identity, written
 
 KEY = "ledgerline"
-#: Collisions among keyed draws fall with each round; this many must do, else the query fails.
-MOST_ROUNDS = 8
+#: From this attempt on, mail names and secrets grow by a digit an attempt, so their room has no end.
+GROWS_FROM = 4
+#: Rounds without a surrogate after which a format of fixed width counts as full.
+IDLE_ROUNDS = 16
 
 #: Given names and family names by script and gender, from which name surrogates are built: fixed values.
 GIVEN = {
@@ -120,13 +123,16 @@ def spelt(entity: Column, kind: Column, new: Column) -> Column:
 
 
 def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
-    """The `attempt`th surrogate of a key."""
+    """The `attempt`th surrogate of a key. Names grow by a stem with each attempt, mail names and secrets by a digit from GROWS_FROM on."""
+
+    def grown(s: Column) -> Column:
+        return F.concat(F.lit(""), *[_number(s, F.lit(39 - 2 * j), 0, 9).cast("string") for j in range(attempt - GROWS_FROM + 1)])
 
     def email(s: Column) -> Column:
         local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
         host, top = F.regexp_replace(domain, "\\.[A-Za-z]+$", ""), F.regexp_extract(domain, "(\\.[A-Za-z]+)$", 1)
         # one domain has one surrogate
-        return F.concat(_like(local, s, F.lit(0)), F.lit("@"), _like(host, _nibbles(F.lit("domain"), F.lower(domain)), F.lit(0)), top)
+        return F.concat(_like(local, s, F.lit(0)), grown(s), F.lit("@"), _like(host, _nibbles(F.lit("domain"), F.lower(domain)), F.lit(0)), top)
 
     def card(s: Column) -> Column:
         drawn = _like(entity, s, F.lit(1))
@@ -144,7 +150,9 @@ def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
         head = F.regexp_extract(entity, "^([A-Za-z_]+\\s*[=:]\\s*[\"']?)", 1)
         # hexadecimal values stay so
         value = F.substring(entity, F.char_length(head) + 1, F.char_length(entity))
-        return F.concat(head, F.when(value.rlike("^[0-9A-Fa-f]+[\"']?$"), _like(value, s, F.lit(0), "abcdef", "ABCDEF")).otherwise(_like(value, s, F.lit(0))))
+        new = F.when(value.rlike("^[0-9A-Fa-f]+[\"']?$"), _like(value, s, F.lit(0), "abcdef", "ABCDEF")).otherwise(_like(value, s, F.lit(0)))
+        closing = F.when(head.rlike("[\"']$"), F.regexp_extract(value, "([\"']?)$", 1)).otherwise(F.lit(""))
+        return F.concat(head, F.substring(new, F.lit(1), F.char_length(new) - F.char_length(closing)), grown(s), closing)
 
     def phone(s: Column) -> Column:
         return _like(entity, s, F.char_length(F.regexp_extract(entity, COUNTRY, 1)))
@@ -155,11 +163,14 @@ def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
     def by_script(make: Callable[[str], Column]) -> Column:
         return F.when(entity.rlike("\\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
 
+    def stems(s: Column, script: str, at: int, n: int) -> list[Column]:
+        return [F.lower(listed(s, STEMS[script], at + 2 * j)) for j in range(n)]
+
     def family(s: Column) -> Column:
-        return F.initcap(by_script(lambda k: F.concat(listed(s, STEMS[k], 2), F.lower(listed(s, STEMS[k], 4)), listed(s, ENDS[k], 6))))
+        return F.initcap(by_script(lambda k: F.concat(*stems(s, k, 2, 2 + attempt), listed(s, ENDS[k], 0))))
 
     def given(s: Column, gender: str) -> Column:
-        return by_script(lambda k: listed(s, GIVEN[k, gender], 0))
+        return by_script(lambda k: F.concat(listed(s, GIVEN[k, gender], 0), *stems(s, k, 2, attempt)))
 
     def made(s: Column) -> Column:
         return (
@@ -175,10 +186,10 @@ def _drawn(known: DataFrame) -> DataFrame:
     """(kind, key, surrogate) for distinct (kind, key): surrogates differ from each other and from all keys.
 
     Each round draws for the keys that have none yet. Of those that drew the same, the least keeps it; a draw that is a key or was given
-    before is void.
+    before is void. Rounds go on until all have one; only numbers of a fixed width can run out, where their corpus fills the format.
     """
-    open_, given = known, None
-    for attempt in range(MOST_ROUNDS):
+    open_, given, left, idle = known, None, known.count(), 0
+    for attempt in count():
         drawn = written(open_.withColumn("surrogate", surrogate(F.col("key"), F.col("kind"), attempt)), "pii-drawn")
         best = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "key")).alias("_b")).select("surrogate", "_b.*")
         best = best.join(known.select(F.col("key").alias("surrogate")), "surrogate", "left_anti")
@@ -187,9 +198,12 @@ def _drawn(known: DataFrame) -> DataFrame:
         won = written(best.select("kind", "key", "surrogate"), "pii-won")
         given = won if given is None else given.unionByName(won)
         open_ = drawn.join(won, ["kind", "key"], "left_anti").select("kind", "key")
-        if open_.isEmpty():
+        before, left = left, open_.count()
+        if not left:
             return given
-    raise ValueError(f"{open_.count()} entities have no surrogate of their own after {MOST_ROUNDS} rounds; their formats are too narrow")
+        idle = idle + 1 if left == before else 0
+        if idle == IDLE_ROUNDS:
+            raise ValueError(f"{left} entities have no surrogate of their own: the corpus fills their formats")
 
 
 def surrogates(entities: DataFrame) -> DataFrame:

@@ -242,6 +242,16 @@ def test_secrets_in_upper_case_and_long_ones(spark):
         assert sum(a == b for a, b in zip(new, long, strict=True) if a != ".") < 100
 
 
+def test_narrow_formats_have_room_for_all(spark):
+    few = [f"{c}@mail.example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    entities = [f"Г-н Б{a}{b}{c}" for a in "абвгдежзик" for b in "лмнопрстуф" for c in "абвгдежзик"] + [f"Mr. {a}{b}{c}" for a in "BCDFGHKLMNPRSTW" for b in "aeiou" for c in "bcdfghklmnprstvwxz" + "aeiouyj"] + few
+    entities += [f'pwd="{n:04d}"' for n in range(3000)]
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in entities], "entity string")).collect()}
+    assert set(got) == set(entities) and len(set(got.values())) == len(entities) and set(got.values()).isdisjoint(entities)
+    assert all(re.fullmatch(r"\w\d*@[a-z]{4}\.[a-z]{7}\.com", got[e]) for e in few)
+    assert all(re.fullmatch(r"Г-н [А-я]+|Mr\. [A-Za-z]+|pwd=\"\d{4,}\"|\S+@\S+", s) for s in got.values())
+
+
 def test_spellings_of_one_entity_agree(spark):
     spelt = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "+1 (201) 555-0187", "+1 201 555 0187", "+12015550187", "Ann.Lee@mail.example.com", "ann.lee@mail.example.com", "Mr. John Miller", "Mr. Miller", "Mrs. Miller", "Herr John Smith"]
     got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in spelt], "entity string")).collect()}
