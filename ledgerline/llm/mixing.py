@@ -8,10 +8,10 @@ among each source's shards. A seeded draw picks each shard's blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table, with_identity, words, written
+from .common import WHITE_RUN, let, n_words, table, with_identity, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -61,7 +61,7 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, and _t, the hash of its text.
+    """A row per document: doc_id, size, source_size, target, taken, _d and _t, its identity, and _ranges, the word ranges (start, stop) of the document that are drawn beside its whole copies, in order.
 
     size counts the words of a text (null or blank: 0). taken is what the mix takes of it, `passes` times its size at most. A null source
     is a source of its own, the last one. Rows that agree in doc_id and text are drawn alike. An empty table gives no rows, and a corpus
@@ -93,27 +93,42 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGE
     chosen = chosen.select("source_no", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source_no", "shard", "block"), "block"))).filter("rank <= extra").select("source_no", "shard", "block")
     parts = rows.filter("size > 0 AND extra > 0").select("source_no", "shard", "nth", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words))).alias("block"))
-    parts = parts.join(chosen, ["source_no", "shard", "block"]).groupBy("source_no", "shard", "nth").agg(F.sum(F.least(F.col("stop"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)).alias("more"))
+    parts = parts.join(chosen, ["source_no", "shard", "block"])
+    # a drawn block's words within the document
+    first, last = F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"), F.least(F.col("stop"), (F.col("block") + 1) * block_words) - F.col("start")
+    parts = parts.groupBy("source_no", "shard", "nth").agg(F.sum(last - first).alias("more"), F.sort_array(F.collect_list(F.struct(first.alias("start"), last.alias("stop")))).alias("_ranges"))
     out = rows.join(parts, ["source_no", "shard", "nth"], "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"), "_d", "_t")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"), "_d", "_t", "_ranges")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each whole copy, and one with the first words of a document that is taken in part.
+    """docs as the mix takes them: a row for each whole copy, and one with the drawn words of a document that is taken in part.
 
-    Columns are those of docs; a cut text is rewritten with single spaces, and n_chars, where there is one, counts the new text.
+    Columns are those of docs. A part runs from its first to its last drawn word as the text has them, and drawn ranges that don't touch
+    are parted by a line feed; n_chars, where there is one, counts the new text.
     """
-    plan = mix_sources(docs, **options).filter("taken > 0").groupBy("_d", "_t").agg(F.first("size").alias("_size"), F.max("taken").alias("_taken"))
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    takes = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    plan = mix_sources(docs, **options).filter("taken > 0").groupBy("_d", "_t").agg(F.first("size").alias("_size"), F.max(F.struct("taken", "_ranges")).alias("_drawn"))
+    more = F.coalesce(F.col("_drawn._ranges"), F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    more_words = F.aggregate(more, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    full = F.floor((F.col("_drawn.taken") - more_words) / F.col("_size")).cast("int")
+    # a document all of whose blocks are drawn once more is a whole copy
+    takes = F.concat(F.array_repeat(F.array().cast("array<struct<start:bigint,stop:bigint>>"), full + F.when(more_words == F.col("_size"), 1).otherwise(0)), F.when((more_words > 0) & (more_words < F.col("_size")), F.array(more)).otherwise(F.array().cast("array<array<struct<start:bigint,stop:bigint>>>")))
     rows = with_identity(docs).join(plan, ["_d", "_t"]).withColumn("_take", F.explode(takes))
-    rows = rows.withColumn("text", F.when(F.col("_take") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest("_take", F.lit(1))), " ")))
+
+    def part(pieces: Column) -> Column:
+        # words, each with the white space after it; neighbouring blocks stay as they were
+        cut = lambda r: F.array_join(F.slice(pieces, (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int")), "")
+        touches = lambda i: (i > 0) & (F.get(F.col("_take"), i - 1)["stop"] == F.get(F.col("_take"), i)["start"])
+        tail = lambda t: F.regexp_replace(t, WHITE_RUN + "\\z", "")
+        return F.array_join(F.transform("_take", lambda r, i: F.concat(F.when((i == 0) | touches(i), F.lit("")).otherwise(F.lit("\n")), F.when(touches(i + 1), cut(r)).otherwise(tail(cut(r))))), "")
+
+    pieces = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), 0)
+    rows = rows.withColumn("text", F.when(F.size("_take") == 0, F.col("text")).otherwise(let(pieces, part)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("_d", "_t")
+    return mix_sources(table(spark, sf_dir, "documents")).drop("_d", "_t", "_ranges")
 

@@ -198,6 +198,27 @@ def test_mixing(spark, docs, texts):
     assert Counter({i: r["taken"] for i, r in rows.items() if r["taken"]}) == sum((Counter({r["doc_id"]: len(WORD.findall(r["text"]))}) for r in mixed.collect()), Counter())
 
 
+def test_mixed_documents_are_the_drawn_words(spark):
+    texts = {i: "".join(f"d{i}w{k}" + ("\n" if k % 7 == 6 else "  " if k % 5 == 4 else " ") for k in range(n)) for i, n in enumerate((400, 30, 300, 90, 5))}
+    docs = spark.createDataFrame([(i, t, "en", "a" if i < 4 else "b", len(t)) for i, t in texts.items()], SCHEMA)
+    options = {"block_words": 8, "shard_words": 64, "budget": 0.5}
+    plan, got, late = run(mixing.mix_sources(docs, **options)), {}, 0
+    for r in mixing.mixed_documents(docs, **options).collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for i, r in plan.items():
+        ranges = [(x["start"], x["stop"]) for x in r["_ranges"] or []]
+        drawn = [k for a, b in ranges for k in range(a, b)]
+        whole, w = r["taken"] - len(drawn), WORD.findall(texts[i])
+        assert whole % len(w) == 0
+        rest = [t for t in got.get(i, []) if t != texts[i]]
+        if 0 < len(drawn) < len(w):
+            assert [WORD.findall(t) for t in rest] == [[w[k] for k in drawn]] and all(x in texts[i] for x in re.split("\n(?=d)", rest[0]))
+            late += drawn != list(range(len(drawn)))
+        else:
+            assert not rest and len(got.get(i, [])) * len(w) == r["taken"]
+    assert late
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     texts = ["So it is.\nLicensed under CC BY-NC 4.0.\nEnd", "Copyright (c) 2020 A. B. All rights reserved.", "x\n" + mit, "\n\n".join(reversed(mit.split("\n\n"))), "this license is fine", "a Released under the MIT License.", "Words.  Released under the\nMIT license!"]
