@@ -1,10 +1,11 @@
 """4. Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-A word's input joins its hashed embedding with that of its character runs; both
-carry log odds counted on the training sample, those of a training document
-without its own fold. Overlapping windows of words go through a GRU in either
-direction, one from each word on, attention pools the states, and a text scores
-as its most toxic window. The network is trained in numpy on a bounded sample of labelled rows.
+A word's input joins a learnt embedding of the word with the mean of learnt
+embeddings of its character runs, both by hashed buckets. Overlapping windows of
+words go through a GRU in either direction, attention pools the states, and a
+text scores as its most toxic window. All weights and embeddings are trained in
+numpy, by back propagation, on a bounded sample of labelled rows; nothing but
+the network judges a text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from .common import table
@@ -22,17 +22,22 @@ from .words import Words, mix, pieces, texts
 
 #: At most so many labelled documents of each class are learnt from.
 MOST_PER_CLASS = 1500
-WINDOW = 40
+#: Words of a window, and words from one window's start to the next: a word is read in WINDOW / STRIDE windows, and words less than WINDOW - STRIDE apart in a common one.
+WINDOW, STRIDE = 32, 8
+LAP = WINDOW // STRIDE
 #: So many windows go through the network at once.
-CHUNK = 1024
-WORD_BITS, CHAR_BITS, LEARNT_BITS = 20, 18, 10
-RUNS = (5,)
-LEARNT, HIDDEN, ATTENTION = 4, 8, 8
-EXTRA = 3
+CHUNK = 2048
+WORD_BITS, CHAR_BITS = 16, 14
+#: Characters of a run; a word has a border on either side.
+RUNS = (4,)
+WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 16, 12
+STEPS, DOCS_A_STEP = 320, 32
+#: Windows drawn of a toxic document in a step; learning rates of the network and, times as much, of embeddings.
+DRAWS, RATE, EMBEDDINGS_FASTER = 3, 0.003, 300
+#: Share of the words that are left out of a training step, and decay of embeddings towards 0, where a word not learnt from stands; else a small sample is learnt by heart.
+DROPPED, DECAY = 0.2, 2e-3
+#: One in so many documents of the sample is kept from training, to set the cut.
 FOLDS = 5
-STEPS, DOCS_A_STEP = 160, 32
-#: Share of the words whose learnt coordinates are left out in a training step, else a small sample is learnt by heart.
-DROPPED = 0.5
 U = np.uint64
 F4 = np.float32
 
@@ -78,330 +83,267 @@ class Inputs:
         self.run_first = np.searchsorted(own, np.arange(len(size)))
         self.run_count = np.diff(np.concatenate([self.run_first, [len(own)]]))
 
-    def odds(self, word_odds: np.ndarray, char_odds: np.ndarray) -> np.ndarray:
-        """The EXTRA coordinates: log odds of the word, the greatest and the mean of its runs."""
-        if not len(self.word):
-            return np.zeros((0, EXTRA), F4)
-        c = char_odds[self.run]
-        return np.stack([word_odds[self.word], np.maximum.reduceat(c, self.run_first), np.add.reduceat(c, self.run_first) / self.run_count], 1).astype(F4)
-
-    def learnt(self, net: dict) -> np.ndarray:
-        """The LEARNT coordinates: the word's embedding and the mean of its runs'."""
-        if not len(self.word):
-            return np.zeros((0, LEARNT), F4)
-        c = net["char"][self.run % len(net["char"])]
-        return net["word"][self.word % len(net["word"])] + np.add.reduceat(c, self.run_first, axis=0) / self.run_count[:, None].astype(F4)
-
-
-def windows_of(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start word, words) of all windows of a document, one from each word on that has a whole window left; a shorter document is one window."""
-    number = np.where(count > WINDOW, count - WINDOW + 1, np.minimum(count, 1))
-    doc = np.repeat(np.arange(len(count)), number)
-    nth = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(number)])[:-1], number)
-    return doc, first[:-1][doc] + nth, np.minimum(count[doc], WINDOW)
+    def vectors(self, net: dict, some: np.ndarray | None = None) -> np.ndarray:
+        """A row for each of some distinct words (all), and one of zeros for what lies beyond a text's end."""
+        word, size, run = (self.word, self.run_count, self.run) if some is None else (self.word[some], self.run_count[some], self.run[self.runs_of(some)])
+        out = np.zeros((len(word) + 1, WORD_DIM + CHAR_DIM), F4)
+        if len(word):
+            out[:-1, :WORD_DIM] = net["word"][word]
+            out[:-1, WORD_DIM:] = np.add.reduceat(net["char"][run], np.cumsum(size) - size, axis=0) / size[:, None].astype(F4)
+        return out
+
+    def runs_of(self, some: np.ndarray) -> np.ndarray:
+        """Places in `run` of some words' runs, word by word."""
+        size = self.run_count[some]
+        return np.repeat(self.run_first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def laid_out(self, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of docs (all) in steps of STRIDE: (numbers of distinct words (step, STRIDE), the step each window starts with, its text's place in docs).
+
+        A text's windows start at every STRIDE-th word until its end is covered; each text is filled up beyond its end.
+        """
+        docs = np.arange(len(self.count)) if docs is None else docs
+        count = self.count[docs]
+        number = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
+        steps = np.where(count > 0, number + LAP - 1, 0)
+        base = np.concatenate([[0], np.cumsum(steps)])
+        out = np.full(base[-1] * STRIDE, len(self.word), np.int64)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(base[:-1] * STRIDE, count) + nth] = self.of[np.repeat(self.first[:-1][docs], count) + nth]
+        owner = np.repeat(np.arange(len(docs)), number)
+        start = np.repeat(base[:-1], number) + np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        return out.reshape(-1, STRIDE), start, owner
+
+
+def _squash(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """x / (1 + |x|), in place: the network's bounded function, as it takes a tenth of a hyperbolic tangent's time. A gate is (1 + it) / 2."""
+    room = np.abs(x, out=room)
+    room += F4(1)
+    x /= room
+    return x
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x, out=x)
+def _run_logits(net: dict, projected: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+    """Logits of the windows from each step of a run on, LAP - 1 less than it has steps: a step of the network reads its words side by side."""
+    n = len(numbers) - LAP + 1
+    states = np.empty((2, WINDOW, HIDDEN, n), F4)
+    flat = numbers.T.ravel()
+    hu, zr, m, room = np.empty((3 * HIDDEN, n), F4), np.empty((2 * HIDDEN, n), F4), np.empty((HIDDEN, n), F4), np.empty((2 * HIDDEN, n), F4)
+    for k, way in enumerate("fb"):
+        u = np.ascontiguousarray(net["u" + way].T)
+        inputs = np.ascontiguousarray(projected[k][flat].T).reshape(3 * HIDDEN, STRIDE, len(numbers))
+        h = np.zeros((HIDDEN, n), F4)
+        for t in range(WINDOW) if way == "f" else reversed(range(WINDOW)):
+            now = inputs[:, t % STRIDE, t // STRIDE : t // STRIDE + n]
+            np.matmul(u, h, out=hu)
+            np.add(now[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
+            _squash(zr, room)
+            zr *= F4(0.5)
+            zr += F4(0.5)
+            np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=m)
+            m += now[2 * HIDDEN :]
+            _squash(m, room[:HIDDEN])
+            new = states[k, t]
+            np.subtract(h, m, out=new)
+            new *= zr[:HIDDEN]
+            new += m
+            h = new
+    e, value = np.empty((WINDOW, n), F4), np.empty((WINDOW, n), F4)
+    heads, ca = np.ascontiguousarray(np.concatenate([net["wa"], net["wo"][:, None]], 1).T), net["ca"][:, None]
+    for t in range(WINDOW):
+        a = heads[:, :HIDDEN] @ states[0, t]
+        a += heads[:, HIDDEN:] @ states[1, t]
+        value[t] = a[-1]
+        a = a[:-1]
+        a += ca
+        e[t] = net["va"] @ _squash(a)
+    e -= e.max(0)
+    np.exp(e, out=e)
+    return (e * value).sum(0) / e.sum(0) + net["co"][0]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= F4(0.5)
-    np.tanh(x, out=x)
-    x += F4(1)
-    x *= F4(0.5)
-    return x
+def _logits(net: dict, x: np.ndarray, numbers: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Logits of the windows that start with the given steps, in order; x: vectors of distinct words."""
+    projected = [x @ net["w" + way] + net["c" + way] for way in "fb"]
+    out = np.empty(len(start), F4)
+    for k in range(0, len(numbers) - LAP + 1, CHUNK):
+        a, b = np.searchsorted(start, (k, k + CHUNK))
+        if a < b:
+            out[a:b] = _run_logits(net, projected, numbers[k : k + CHUNK + LAP - 1])[start[a:b] - k]
+    return out
 
 
-def _gru(projected: np.ndarray, at: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: list | None) -> np.ndarray:
-    """States (time, window, HIDDEN) from the words' projected inputs (word, 3 HIDDEN) and the windows' words (time, window)."""
-    h = np.zeros((at.shape[1], HIDDEN), F4)
-    out = np.empty((*at.shape, HIDDEN), F4)
-    for t in range(len(at)):
-        xs, hu = projected.take(at[t], 0), h @ u
-        zr = _sigmoid(xs[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        hn = hu[:, 2 * HIDDEN :]
-        n = _tanh(xs[:, 2 * HIDDEN :] + r * hn)
-        new = n + z * (h - n)
-        if mask is not None:
-            new = np.where(mask[t][:, None], new, h)
-        if keep is not None:
-            keep.append((h, z, r, n, hn))
-        h = out[t] = new
+def _gru(inputs: np.ndarray, u: np.ndarray, keep: list) -> np.ndarray:
+    """States (time, window, HIDDEN) from projected inputs (time, window, 3 HIDDEN); keep takes what going back needs."""
+    h = np.zeros((inputs.shape[1], HIDDEN), F4)
+    out = np.empty((*inputs.shape[:2], HIDDEN), F4)
+    for t, x in enumerate(inputs):
+        hu = h @ u
+        zr = 0.5 * _squash(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]) + 0.5
+        z, r, hn = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
+        n = _squash(x[:, 2 * HIDDEN :] + r * hn)
+        keep.append((h, z, r, n, hn))
+        h = out[t] = n + z * (h - n)
     return out
 
 
-def _gru_back(dout: np.ndarray, mask: np.ndarray | None, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
+def _gru_back(dout: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs and of u."""
     dx = np.empty((*dout.shape[:2], 3 * HIDDEN), F4)
     du, dh = np.zeros_like(u), np.zeros(dout.shape[1:], F4)
     for t in reversed(range(len(dout))):
         h, z, r, n, hn = kept[t]
         g = dh + dout[t]
-        passed = g * z
-        if mask is not None:
-            m = mask[t][:, None]
-            passed, g = np.where(m, passed, g), np.where(m, g, F4(0))
-        dn = g * (1 - z) * (1 - n * n)
-        dz = g * (h - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
+        dn = g * (1 - z) * (1 - np.abs(n)) ** 2
+        dz = g * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        dr = dn * hn * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
         dhu = np.concatenate([dz, dr, dn * r], 1)
         dx[t] = np.concatenate([dz, dr, dn], 1)
         du += h.T @ dhu
-        dh = passed + dhu @ u.T
+        dh = g * z + dhu @ u.T
     return dx, du
 
 
-def _forward(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Logits of windows. x: inputs of distinct words; at: (time, window) their numbers; length: words of each window."""
-    mask = None if (length == len(at)).all() else np.arange(len(at))[:, None] < length
-    states, kept = [], ([], [])
-    for k, (way, back) in enumerate((("f", 1), ("b", -1))):
-        m = mask[::back] if mask is not None else None
-        projected = x @ net["w" + way] + net["c" + way]
-        states.append(_gru(projected, at[::back], m, net["u" + way], kept[k] if keep is not None else None)[::back])
-    h = np.concatenate(states, 2)
-    a = _tanh(h @ net["wa"] + net["ca"])
+def _forward(net: dict, x: np.ndarray, keep: dict) -> np.ndarray:
+    """Logits of windows from their words' vectors (time, window, dim), plainly; keep takes what `_backward` needs."""
+    kept: tuple = ([], [])
+    f, b = (_gru((x @ net["w" + way] + net["c" + way])[::back], net["u" + way], kept[k])[::back] for k, (way, back) in enumerate((("f", 1), ("b", -1))))
+    h = np.concatenate([f, b], 2)
+    a = _squash(h @ net["wa"] + net["ca"])
     e = a @ net["va"]
-    if mask is not None:
-        e = np.where(mask, e, F4(-1e9))
     e = np.exp(e - e.max(0))
     e /= e.sum(0)
     pooled = np.einsum("tw,twh->wh", e, h)
-    if keep is not None:
-        keep.update(mask=mask, kept=kept, h=h, a=a, e=e, pooled=pooled)
+    keep.update(x=x, kept=kept, h=h, a=a, e=e, pooled=pooled)
     return pooled @ net["wo"] + net["co"][0]
 
 
-def _logits(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """_forward, CHUNK windows at a time."""
-    parts = [slice(k, k + CHUNK) for k in range(0, len(length), CHUNK)]
-    return np.concatenate([_forward(net, x, at[:, part], length[part]) for part in parts])
-
-
-def _gradients(net: dict, x: np.ndarray, at: np.ndarray, length: np.ndarray, d: np.ndarray) -> tuple[dict, np.ndarray]:
-    """_backward, CHUNK windows at a time; those without a gradient have no part in it."""
-    g, dx, used = {}, np.zeros_like(x), np.flatnonzero(d)
-    for k in range(0, len(used), CHUNK):
-        some, keep = used[k : k + CHUNK], {}
-        _forward(net, x, at[:, some], length[some], keep)
-        part, more = _backward(net, x, at[:, some], d[some], keep)
-        g = {name: g[name] + v if g else v for name, v in part.items()}
-        dx += more
-    return g, dx
-
-
-def _backward(net: dict, x: np.ndarray, at: np.ndarray, d: np.ndarray, keep: dict) -> tuple[dict, np.ndarray]:
-    """Gradients of the network and of x, from those of the logits."""
+def _backward(net: dict, d: np.ndarray, keep: dict) -> tuple[dict, np.ndarray]:
+    """Gradients of the network and of the words' vectors, from those of the logits."""
+    x, h, a, e = keep["x"], keep["h"], keep["a"], keep["e"]
     g = {"wo": keep["pooled"].T @ d, "co": d.sum(keepdims=True)}
-    h, a, e = keep["h"], keep["a"], keep["e"]
     dp = d[:, None] * net["wo"]
-    dh = e[..., None] * dp
     de = np.einsum("twh,wh->tw", h, dp)
     de = e * (de - (e * de).sum(0))
-    da = de[..., None] * net["va"] * (1 - a * a)
+    da = de[..., None] * net["va"] * (1 - np.abs(a)) ** 2
     g["va"] = np.einsum("twk,tw->k", a, de)
     g["wa"], g["ca"] = np.einsum("twh,twk->hk", h, da), da.sum((0, 1))
-    dh = dh + da @ net["wa"].T
+    dh = e[..., None] * dp + da @ net["wa"].T
     dx = np.zeros_like(x)
     for k, (way, back) in enumerate((("f", 1), ("b", -1))):
-        part = dh[::back, :, k * HIDDEN : (k + 1) * HIDDEN]
-        dproj, g["u" + way] = _gru_back(part, keep["mask"][::back] if keep["mask"] is not None else None, net["u" + way], keep["kept"][k])
-        flat, number = dproj.reshape(-1, 3 * HIDDEN), at[::back].reshape(-1)
-        by_word = np.stack([np.bincount(number, flat[:, j], len(x)) for j in range(3 * HIDDEN)], 1).astype(F4)
-        g["w" + way], g["c" + way] = x.T @ by_word, flat.sum(0)
-        dx += by_word @ net["w" + way].T
+        dproj, g["u" + way] = _gru_back(dh[::back, :, k * HIDDEN : (k + 1) * HIDDEN], net["u" + way], keep["kept"][k])
+        dproj = dproj[::back]
+        g["w" + way], g["c" + way] = np.einsum("twi,twj->ij", x, dproj), dproj.sum((0, 1))
+        dx += dproj @ net["w" + way].T
     return g, dx
 
 
-def _run_logits(net: dict, x: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """What _forward gives for the whole windows from each word of a run on, WINDOW - 1 less than it has words: a step reads its words side by side."""
-    n = len(run) - WINDOW + 1
-    half = np.repeat(np.array([0.5, 1], F4), (2 * HIDDEN, HIDDEN))  # a sigmoid is a tanh of half
-    states = np.empty((2, WINDOW, HIDDEN, n), F4)
-    for k, way in enumerate("fb"):
-        inputs = np.ascontiguousarray(((x @ net["w" + way] + net["c" + way]) * half)[run].T)
-        u = np.ascontiguousarray((net["u" + way] * half).T)
-        h, hu, zr, m = np.zeros((HIDDEN, n), F4), np.empty((3 * HIDDEN, n), F4), np.empty((2 * HIDDEN, n), F4), np.empty((HIDDEN, n), F4)
-        for t in range(WINDOW) if way == "f" else reversed(range(WINDOW)):
-            now = inputs[:, t : t + n]
-            np.matmul(u, h, out=hu)
-            np.add(now[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
-            np.tanh(zr, out=zr)
-            zr *= F4(0.5)
-            zr += F4(0.5)
-            np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=m)
-            m += now[2 * HIDDEN :]
-            np.tanh(m, out=m)
-            new = states[k, t]
-            np.subtract(h, m, out=new)
-            new *= zr[:HIDDEN]
-            new += m
-            h = new
-    e, value = np.empty((WINDOW, n), F4), np.empty((WINDOW, n), F4)
-    wa, ca = np.ascontiguousarray(net["wa"].T), net["ca"][:, None]
-    for t in range(WINDOW):
-        a = _tanh(wa[:, :HIDDEN] @ states[0, t] + wa[:, HIDDEN:] @ states[1, t] + ca)
-        e[t] = net["va"] @ a
-        value[t] = net["wo"][:HIDDEN] @ states[0, t] + net["wo"][HIDDEN:] @ states[1, t]
-    e -= e.max(0)
-    np.exp(e, out=e)
-    return (e * value).sum(0) / e.sum(0) + net["co"][0]
-
-
-def _window_inputs(inputs: Inputs, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """(time, window) numbers of distinct words; beyond a window's end, its last word again."""
-    t = np.minimum(np.arange(int(length.max()))[:, None], length - 1)
-    return inputs.of[start + t]
-
-
-def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Smoothed log odds of a bucket, 0 where it was not seen."""
-    rate = n_pos / max(1, n_neg)
-    return (np.log((pos + 1.0) / (neg * rate + 1.0))).astype(F4)
+def new_net(seed: int = 4) -> dict:
+    """An untrained network. Embeddings start at 0, which is where a word that training never meets stays."""
+    rng = np.random.default_rng(seed)
+    dim = WORD_DIM + CHAR_DIM
+    net = {"word": np.zeros((1 << WORD_BITS, WORD_DIM)), "char": np.zeros((1 << CHAR_BITS, CHAR_DIM))}
+    for way in "fb":
+        net["w" + way] = rng.normal(0, 0.5, (dim, 3 * HIDDEN))
+        net["u" + way] = np.concatenate([np.linalg.qr(rng.normal(size=(HIDDEN, HIDDEN)))[0] for _ in range(3)], 1)
+        net["c" + way] = np.zeros(3 * HIDDEN)
+    net |= {"wa": rng.normal(0, 0.4, (2 * HIDDEN, ATTENTION)), "ca": np.zeros(ATTENTION), "va": rng.normal(0, 0.4, ATTENTION), "wo": rng.normal(0, 0.4, 2 * HIDDEN), "co": np.full(1, -1.0)}
+    return {k: v.astype(F4) for k, v in net.items()}
 
 
-def train(sample: list[tuple[str, int]], seed: int = 4, steps: int = STEPS) -> dict:
+def train(sample: list[tuple[str, int]], seed: int = 4, steps: int | None = None) -> dict:
     """The network, from (text, label) pairs. One class only gives a network that scores all texts as that class's share."""
     sample = [(t or "", int(y)) for t, y in sample]
-    rng = np.random.default_rng(seed)
-    net = {"word": rng.normal(0, 0.05, (1 << LEARNT_BITS, LEARNT)), "char": rng.normal(0, 0.05, (1 << LEARNT_BITS, LEARNT))}
-    for way in "fb":
-        net["w" + way] = rng.normal(0, 0.4, (EXTRA + LEARNT, 3 * HIDDEN))
-        net["u" + way] = rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN))
-        net["c" + way] = np.zeros(3 * HIDDEN)
-    net |= {"wa": rng.normal(0, 0.4, (2 * HIDDEN, ATTENTION)), "ca": np.zeros(ATTENTION), "va": rng.normal(0, 0.4, ATTENTION), "wo": rng.normal(0, 0.4, 2 * HIDDEN), "co": np.zeros(1)}
-    net = {k: v.astype(F4) for k, v in net.items()}
+    steps = STEPS if steps is None else steps
+    rng, net = np.random.default_rng(seed), new_net(seed)
     y = np.array([b for _, b in sample], np.int64)
-    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    net["base"] = np.array([(n_pos + 0.5) / (len(y) + 1.0)], F4)
-    net["shift"] = np.zeros(1, F4)
-    net["word_odds"], net["char_odds"] = np.zeros(1 << WORD_BITS, F4), np.zeros(1 << CHAR_BITS, F4)
-    if not n_pos or not n_neg:
-        return net | {"flat": np.array([True])}
-
-    docs = [Inputs(*_bytes([t])) for t, _ in sample]
-    fold = np.arange(len(docs)) % FOLDS
-    word = np.zeros((FOLDS, 2, 1 << WORD_BITS), F4)
-    char = np.zeros((FOLDS, 2, 1 << CHAR_BITS), F4)
-    for d, b, k in zip(docs, y, fold, strict=True):
-        word[k, b][np.unique(d.word)] += 1
-        char[k, b][np.unique(d.run)] += 1
-    word_all, char_all = word.sum(0), char.sum(0)
-    odds = []
-    for k in range(FOLDS):  # a document's coordinates come from the other folds
-        inside = fold == k
-        p, n = n_pos - int(y[inside].sum()), n_neg - int((1 - y[inside]).sum())
-        wo, co = (_log_odds(all_[1] - part[k, 1], all_[0] - part[k, 0], p, n) for all_, part in ((word_all, word), (char_all, char)))
-        odds.append({i: docs[i].odds(wo, co) for i in np.flatnonzero(inside)})
-    odds = {i: v for part in odds for i, v in part.items()}
-    net["word_odds"], net["char_odds"] = _log_odds(word_all[1], word_all[0], n_pos, n_neg), _log_odds(char_all[1], char_all[0], n_pos, n_neg)
-    del word, char, word_all, char_all
-
-    classes = [np.array([i for i in np.flatnonzero(y == b) if docs[i].count[0]]) for b in (0, 1)]
-    if not len(classes[0]) or not len(classes[1]):
-        return net | {"flat": np.array([True])}
-    names = [k for k in net if k not in ("base", "shift", "word_odds", "char_odds")]
-    moments = {k: (np.zeros_like(net[k]), np.zeros_like(net[k])) for k in names}
-
-    def batch(chosen: np.ndarray, dropped: list | None = None):
-        x, at, length, doc, base = [], [], [], [], 0
-        for j, i in enumerate(chosen):
-            d = docs[i]
-            _, start, size = windows_of(d.first, d.count)
-            x.append(np.concatenate([odds[i], d.learnt(net)], 1))
-            if dropped is not None:
-                dropped.append(rng.random(len(d.word)) < DROPPED)
-                x[-1][dropped[-1], EXTRA:] = 0
-            part = d.of[np.minimum(start + np.minimum(np.arange(WINDOW)[:, None], size - 1), len(d.of) - 1)] + base
-            at.append(part)
-            length.append(size)
-            doc.append(np.full(len(start), j))
-            base += len(d.word)
-        return np.concatenate(x), np.concatenate(at, 1), np.concatenate(length), np.concatenate(doc)
+    extras = {"base": np.array([(y.sum() + 0.5) / (len(y) + 1.0)], F4), "shift": np.zeros(1, F4)}
+    inputs = Inputs(*_bytes([t for t, _ in sample]))
+    some = [np.flatnonzero((y == b) & (inputs.count > 0)) for b in (0, 1)]
+    if not len(some[0]) or not len(some[1]):
+        return net | extras | {"flat": np.array([True])}
+    # those that set the cut; a class of few documents has none to spare
+    aside = np.concatenate([c[::FOLDS] if len(c) >= 4 * FOLDS else c for c in some])
+    classes = [np.setdiff1d(c, aside) if len(c) >= 4 * FOLDS else c for c in some]
+    moments = {k: (np.zeros_like(v), np.zeros_like(v) if k not in ("word", "char") else np.zeros(1, F4)) for k, v in net.items()}
 
     for step in range(steps):
         chosen = np.concatenate([rng.choice(c, min(len(c), DOCS_A_STEP // 2), replace=False) for c in classes])
-        dropped: list = []
-        x, at, length, doc = batch(chosen, dropped)
-        logit = _logits(net, x, at, length)
-        # a clean document's windows are all clean; of a toxic one, the most toxic counts
-        target, p = y[chosen], 1 / (1 + np.exp(-logit))
-        d = np.zeros(len(logit), F4)
-        last = np.full(len(chosen), -np.inf)
-        np.maximum.at(last, doc, logit)
-        top = np.flatnonzero(logit == last[doc])
-        pos, neg = top[target[doc[top]] == 1], np.flatnonzero(target[doc] == 0)
-        hard = top[target[doc[top]] == 0]
-        d[pos] = (p[pos] - 1) / max(1, (target == 1).sum())
-        d[neg] = 0.5 * p[neg] / max(1, len(neg))
-        d[hard] += p[hard] / max(1, (target == 0).sum())
-        g, dx = _gradients(net, x, at, length, d)
-        dl, base = np.where(np.concatenate(dropped)[:, None], F4(0), dx[:, EXTRA:]), 0
-        for name in ("word", "char"):
-            g[name] = np.zeros_like(net[name])
-        for i in chosen:
-            q = docs[i]
-            part = dl[base : base + len(q.word)]
-            np.add.at(g["word"], q.word % len(net["word"]), part)
-            np.add.at(g["char"], q.run % len(net["char"]), np.repeat(part / q.run_count[:, None], q.run_count, axis=0))
-            base += len(q.word)
-        rate = 0.03 * min(1, (step + 1) / 20) * (1 - 0.9 * step / steps)
-        for k in names:
-            m, v = moments[k]
+        numbers, start, owner = inputs.laid_out(chosen)
+        here, numbers = np.unique(numbers, return_inverse=True)
+        numbers, here = (numbers.reshape(-1, STRIDE), here[:-1]) if here[-1] == len(inputs.word) else (numbers.reshape(-1, STRIDE), here)
+        x = inputs.vectors(net, here)
+        logit = _logits(net, x, numbers, start)
+        # a toxic document learns by windows drawn by the softmax of their logits, a clean one by its most toxic window; and some other clean ones
+        label, last = y[chosen][owner], np.searchsorted(owner, np.arange(len(chosen)), "right") - 1
+        drawn = [np.lexsort((logit + np.where(label == 1, rng.gumbel(size=len(logit)), 0), owner))[last] for _ in range(DRAWS)]
+        top = np.concatenate([drawn[0], *(d[y[chosen] == 1] for d in drawn[1:])])
+        clean = np.flatnonzero(label == 0)
+        windows = np.concatenate([top, rng.choice(clean, min(len(clean), DOCS_A_STEP), replace=False)])
+        word = numbers[(start[windows][:, None] + np.arange(LAP))].reshape(len(windows), WINDOW).T
+        dropped = rng.random(len(x)) < DROPPED
+        word = np.where(dropped[word], len(x) - 1, word)
+        keep: dict = {}
+        p = 1 / (1 + np.exp(-_forward(net, x[word], keep)))
+        target = y[chosen][owner[windows]]
+        weight = np.where(target == 1, 1 / max(1, (target == 1).sum()), np.where(np.arange(len(windows)) < len(top), 0.5 / max(1, (target[: len(top)] == 0).sum()), 0.5 / max(1, len(windows) - len(top))))
+        d = ((p - target) * weight).astype(F4)
+        g, dx = _backward(net, d, keep)
+        flat, dx = word.ravel(), dx.reshape(-1, dx.shape[2])
+        used, at = np.unique(flat, return_inverse=True)
+        by_word = np.stack([np.bincount(at, dx[:, j], len(used)) for j in range(dx.shape[1])], 1).astype(F4)
+        used, by_word = (used[:-1], by_word[:-1]) if used[-1] == len(x) - 1 else (used, by_word)
+        g["word"], g["char"] = np.zeros_like(net["word"]), np.zeros_like(net["char"])
+        used = here[used]
+        np.add.at(g["word"], inputs.word[used], by_word[:, :WORD_DIM])
+        size = inputs.run_count[used]
+        np.add.at(g["char"], inputs.run[inputs.runs_of(used)], np.repeat(by_word[:, WORD_DIM:] / size[:, None].astype(F4), size, axis=0))
+        rate = RATE * min(1, (step + 1) / 20) * (1 - 0.9 * step / steps)
+        for k, v in net.items():
+            m, s = moments[k]
             m += 0.1 * (g[k] - m)
-            v += 0.01 * (g[k] * g[k] - v)
-            pace = 0.1 * rate if k in ("word", "char") else rate
-            net[k] -= (pace * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-6)).astype(F4)
-
-    # the cut that errs least on the sample, its coordinates again from other folds
-    scores = np.full(len(docs), -np.inf)
-    for b in (0, 1):
-        for k in range(0, len(classes[b]), DOCS_A_STEP):
-            chosen = classes[b][k : k + DOCS_A_STEP]
-            x, at, length, doc = batch(chosen)
-            last = np.full(len(chosen), -np.inf)
-            np.maximum.at(last, doc, _logits(net, x, at, length))
-            scores[chosen] = last
-    seen = np.isfinite(scores)
-    s, t = scores[seen], y[seen]
-    order = np.argsort(s)
-    s, t = s[order], t[order]
+            if k in ("word", "char"):
+                # one scale for a whole table: what is met often moves further than what is met once
+                touched = np.abs(g[k]).max(1) > 0
+                s += 0.02 * ((g[k][touched] ** 2).mean() - s if touched.any() else 0)
+                v *= F4(1 - DECAY)
+                v -= (EMBEDDINGS_FASTER * rate * m / (np.sqrt(s / (1 - 0.98 ** (step + 1))) + 1e-8)).astype(F4)
+            else:
+                s += 0.01 * (g[k] * g[k] - s)
+                v -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-7)).astype(F4)
+
+    # the cut that errs least on what was kept aside
+    scores, t = top_logits(net, inputs)[aside], y[aside]
+    order = np.argsort(scores)
+    s, t = scores[order], t[order]
     wrong = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
     best = np.flatnonzero(wrong == wrong.min())
     middle = best[len(best) // 2]
-    cut = s[0] - 1 if middle == 0 else s[-1] + 1 if middle == len(s) else (s[middle - 1] + s[middle]) / 2
-    net["shift"] = np.array([cut], F4)
-    return net
+    extras["shift"] = np.array([s[0] - 1 if middle == 0 else s[-1] + 1 if middle == len(s) else (s[middle - 1] + s[middle]) / 2], F4)
+    return net | extras
 
 
 def _bytes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return texts(pa.array(values, pa.string()))
 
 
+def top_logits(net: dict, inputs: Inputs) -> np.ndarray:
+    """The greatest logit of each text's windows; minus infinity without words."""
+    top = np.full(len(inputs.count), -np.inf)
+    numbers, start, owner = inputs.laid_out()
+    if len(start):
+        some = np.flatnonzero(inputs.count)
+        top[some] = np.maximum.reduceat(_logits(net, inputs.vectors(net), numbers, start), np.searchsorted(owner, some))
+    return top
+
+
 def score_texts(net: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Score of each text; one without words scores the smaller of the sample's toxic share and 0.49."""
-    n = len(offsets) - 1
+    """Score of each text, to six digits; one without words scores the smaller of the sample's toxic share and 0.49."""
     base = float(net["base"][0])
     if "flat" in net:
-        return np.full(n, base)
-    inputs = Inputs(data, offsets)
-    top = np.full(n, -np.inf)
-    if len(inputs.word):
-        x = np.concatenate([inputs.odds(net["word_odds"], net["char_odds"]), inputs.learnt(net)], 1)
-        doc, start, length = windows_of(inputs.first, inputs.count)
-        whole = np.flatnonzero(length == WINDOW)
-        for k in range(0, len(inputs.of) - WINDOW + 1, CHUNK):
-            some = whole[slice(*np.searchsorted(start[whole], (k, k + CHUNK)))]
-            if len(some):
-                np.maximum.at(top, doc[some], _run_logits(net, x, inputs.of[k : k + CHUNK + WINDOW - 1])[start[some] - k])
-        part = np.flatnonzero(length < WINDOW)
-        for k in range(0, len(part), CHUNK):
-            some = part[k : k + CHUNK]
-            np.maximum.at(top, doc[some], _forward(net, x, _window_inputs(inputs, start[some], length[some]), length[some]))
-    logit = np.clip(top - net["shift"][0], -30, 30)
-    return np.where(np.isfinite(top), 1 / (1 + np.exp(-logit)), min(base, 0.49))
+        return np.full(len(offsets) - 1, base)
+    top = top_logits(net, Inputs(data, offsets))
+    return np.where(np.isfinite(top), np.round(1 / (1 + np.exp(-np.clip(top - net["shift"][0], -30, 30))), 6), min(base, 0.49))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -409,13 +351,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> list[tuple[str, int]]:
-    """At most `most` labelled rows of each class that aren't held out, picked by a hash of doc_id: 2 * most rows come to the driver."""
+    """At most `most` labelled documents of each class that aren't held out, picked by a hash of doc_id: 2 * most texts come to the driver.
+
+    Of conflicting labels of one doc_id the toxic one counts, and of its repeated rows the least text.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    ranked = rows.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64(F.lit(4), "doc_id"))
+    ranked = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(4), "doc_id"))
     picked = [ranked.filter(F.col("toxic") == b).orderBy("h", "doc_id").limit(most) for b in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 def toxicity(docs: DataFrame, net: dict) -> DataFrame:

@@ -334,58 +334,3 @@ def test_unigram_viterbi_against_brute_force():
         assert "".join(got) == text and abs(sum(model.scores[model.ids[p]] for p in got) - best(text)) < 1e-9
     long = "▁" + "".join(rng.choice(list("ab"), 5000))
     assert "".join(model.viterbi(long)) == long
-
-
-def test_toxicity_learns(spark):
-    rng = np.random.default_rng(6)
-    clean = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "tu", "re"], 2)) for _ in range(n))
-    sample = []
-    for i in range(240):
-        t = clean(int(rng.integers(20, 120)))
-        if i % 4 == 0:
-            w = t.split()
-            w[len(w) // 2] = ["Zorgle", "vexot!!", "vexump", "vexilo"][int(rng.integers(4))]
-            t = " ".join(w)
-        sample.append((t, int(i % 4 == 0)))
-    net = toxicity.train(sample[:160], steps=60)
-    data = toxicity._bytes([t for t, _ in sample[160:]] + ["", None and ""])
-    scores = toxicity.score_texts(net, *data)
-    assert ((scores[:80] >= 0.5) == np.array([y for _, y in sample[160:]])).mean() > 0.9 and (scores >= 0).all() and (scores <= 1).all()
-
-
-def test_toxicity_reads_all_windows():
-    net = toxicity.train([("a b", 1), ("c d", 0)], steps=0)
-    rng = np.random.default_rng(8)
-    net["word_odds"] = rng.normal(size=len(net["word_odds"])).astype(np.float32)
-    texts = [" ".join("".join(rng.choice(list("abcdefg"), 3)) for _ in range(n)) for n in (3, 39, 40, 41, 75, 1500)]
-    for text, score in zip(texts, toxicity.score_texts(net, *toxicity._bytes(texts)), strict=True):
-        w = text.split()
-        alone = toxicity.score_texts(net, *toxicity._bytes([" ".join(w[k : k + 40]) for k in range(max(1, len(w) - 39))]))
-        assert abs(score - alone.max()) < 1e-5
-        inputs = toxicity.Inputs(*toxicity._bytes([text]))
-        doc, start, length = toxicity.windows_of(inputs.first, inputs.count)
-        assert start.tolist() == list(range(max(1, len(w) - 39))) and set(length) == {min(40, len(w))}
-        x = np.concatenate([inputs.odds(net["word_odds"], net["char_odds"]), inputs.learnt(net)], 1)
-        logit = toxicity._logits(net, x, toxicity._window_inputs(inputs, start, length), length).max() - net["shift"][0]
-        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-5
-
-
-def test_gradients():
-    rng = np.random.default_rng(7)
-    net = toxicity.train([("a b", 1), ("c d", 0)], steps=0)
-    net = {k: (v.astype(np.float64) if v.dtype == np.float32 else v) for k, v in net.items()}
-    x = rng.normal(size=(6, toxicity.EXTRA + toxicity.LEARNT)).astype(np.float32)
-    at, length = rng.integers(0, 6, (5, 3)), np.array([5, 3, 1])
-    keep = {}
-    toxicity._forward(net, x, at, length, keep)
-    d = np.array([1.0, -0.5, 2.0], np.float32)
-    g, _ = toxicity._backward(net, x, at, d, keep)
-    for name in ("wf", "ub", "wa", "va", "wo", "cb"):
-        where = tuple(0 for _ in net[name].shape)
-        old, e = net[name][where], 1e-2
-        net[name][where] = old + e
-        up = (toxicity._forward(net, x, at, length) * d).sum()
-        net[name][where] = old - e
-        down = (toxicity._forward(net, x, at, length) * d).sum()
-        net[name][where] = old
-        assert abs((up - down) / (2 * e) - g[name][where]) < 2e-3 + 0.02 * abs(g[name][where])
