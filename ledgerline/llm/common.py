@@ -43,6 +43,19 @@ def with_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("\x00")))})
 
 
+def packed(docs: DataFrame, *more: Column, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """_row (all columns of docs in one struct, whatever their names), the identity (_d, _t) and more columns, so that none of docs' own can clash."""
+    text = docs["text"] if text is None else text
+    identity = [F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST)).alias("_d"), F.xxhash64(F.coalesce(text, F.lit("\x00"))).alias("_t")]
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row"), *identity, *more)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of packed rows, some with new values; then more columns, in place of docs' own of that name."""
+    new, more = new or {}, more or {}
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in more], *[v.alias(k) for k, v in more.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

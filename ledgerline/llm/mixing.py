@@ -1,9 +1,10 @@
 """3. Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets are the sources' weights scaled to the budget, each capped at a number
-of passes over its source. They become integer quotas of equal blocks: blocks go
-one by one to the highest quotient target / (2 k + 1), first among sources, then
-among each source's shards. A seeded draw picks each shard's blocks.
+of passes over its source. They become integer quotas of equal blocks of tokens:
+blocks go one by one to the highest quotient target / (2 k + 1) among sources,
+and each source's words, by the same rule, to its shards. A seeded draw then
+picks runs of each shard's words until its quota is full.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, let, n_words, table, with_identity, written
+from .common import WHITE_RUN, let, n_words, packed, table, unpacked, with_identity, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 PASSES = 2
+#: The largest block. Blocks are as much smaller as the smallest source needs to get FEWEST_BLOCKS.
 BLOCK_WORDS = 256
+FEWEST_BLOCKS = 64
 SHARD_WORDS = 32768
-MAX_SHARDS = 4096
+#: Shards of a source at most; beyond that shards grow. One task sorts the ids and sizes of a shard, never its texts.
+MOST_SHARDS = 4096
 SEED = 20
+RANGES = "array<struct<start:bigint,stop:bigint>>"
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, passes: float = PASSES) -> DataFrame:
@@ -60,60 +65,92 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return p.join(won, [*group, party], "left").withColumn("quota", F.col("_least") + F.coalesce("_won", F.lit(0))).drop("_sum", "_n", "_least", "_most", "_open", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, _d and _t, its identity, and _ranges, the word ranges (start, stop) of the document that are drawn beside its whole copies, in order.
+def _plan(base: DataFrame, weights: tuple, budget: float, passes: int, seed: int, block_words: int, shard_words: int) -> DataFrame:
+    """What the mix takes, from base (_d, _t, source, size): a row for each (source, _d, _t) with source_size, target, rounds (whole copies) and ranges.
 
-    size counts the words of a text (null or blank: 0). taken is what the mix takes of it, `passes` times its size at most. A null source
-    is a source of its own, the last one. Rows that agree in doc_id and text are drawn alike. An empty table gives no rows, and a corpus
-    without words has targets of 0. Other columns are not read. The same table, seed and parameters give the same mix.
+    Rows that agree in all three are one unit of n copies: each of its words counts n times, and all copies are taken alike.
     """
-    base = with_identity(docs.select("doc_id", "text", "source"))
-    base = base.select("doc_id", "_d", "_t", "source", n_words(F.col("text")).alias("size"))
-    base = written(base, "mix-sizes")
+    units = base.groupBy("source", "_d", "_t", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, passes)
-    total = F.sum("target").over(Window.partitionBy())
-    sources = sainte_lague(sources.withColumn("seats", F.round(total / block_words).cast("long")).withColumn("_all", F.lit(0)), ["_all"], "source_no", "target", "seats")
-    sources = written(sources.select("source", "source_no", "source_size", "target", F.col("quota").alias("blocks"), F.least(F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)), F.lit(MAX_SHARDS)).cast("long").alias("n_shards")), "mix-sources")
-
-    draw = F.xxhash64(F.lit(seed), "_d", "_t")
-    rows = base.join(sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    rows = rows.withColumn("draw", draw).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_d", "_t"), F.col("n_shards")))
-    shards = rows.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    quotas = sainte_lague(shards, ["source_no"], "shard", "shard_size", "blocks").select("source_no", "shard", "shard_size", F.col("quota"))
-
-    # a shard's documents in seeded order are one run of words, cut into blocks
-    order = Window.partitionBy("source_no", "shard").orderBy("draw", "_d", "_t")
-    rows = rows.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("size")).withColumn("nth", F.row_number().over(order))
-    rows = rows.join(quotas, ["source_no", "shard"])
-    n_blocks = F.ceil(F.col("shard_size") / block_words).cast("long")
-    rows = rows.withColumn("n_blocks", n_blocks).withColumn("rounds", F.when(F.col("n_blocks") > 0, F.least(F.floor(F.col("quota") / F.col("n_blocks")), F.lit(passes))).otherwise(0).cast("long"))
-    rows = rows.withColumn("extra", F.when(F.col("rounds") >= passes, 0).otherwise(F.col("quota") - F.col("rounds") * F.col("n_blocks")))
-    # which blocks of a shard are drawn once more: the `extra` lowest draws of its numbers, kept as an array of at most shard_words / block_words or so
-    chosen = rows.groupBy("source_no", "shard").agg(F.first("n_blocks").alias("n_blocks"), F.first("extra").alias("extra")).filter("extra > 0")
-    chosen = chosen.select("source_no", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source_no", "shard", "block"), "block"))).filter("rank <= extra").select("source_no", "shard", "block")
-    parts = rows.filter("size > 0 AND extra > 0").select("source_no", "shard", "nth", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words))).alias("block"))
-    parts = parts.join(chosen, ["source_no", "shard", "block"])
-    # a drawn block's words within the document
-    first, last = F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"), F.least(F.col("stop"), (F.col("block") + 1) * block_words) - F.col("start")
-    parts = parts.groupBy("source_no", "shard", "nth").agg(F.sum(last - first).alias("more"), F.sort_array(F.collect_list(F.struct(first.alias("start"), last.alias("stop")))).alias("_ranges"))
-    out = rows.join(parts, ["source_no", "shard", "nth"], "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"), "_d", "_t", "_ranges")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each whole copy, and one with the drawn words of a document that is taken in part.
+    whole = Window.partitionBy()
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole) / FEWEST_BLOCKS))).cast("long")
+    sources = sources.withColumn("block", F.coalesce(block, F.lit(1).cast("long"))).withColumn("seats", F.round(F.sum("target").over(whole) / F.col("block")).cast("long")).withColumn("_all", F.lit(0))
+    sources = sainte_lague(sources, ["_all"], "source_no", "target", "seats")
+    cap = F.col("source_size") * passes
+    words = F.when(F.col("target") >= cap, cap).otherwise(F.least(cap, F.col("quota") * F.col("block")))
+    # runs that a shard draws; a small source's are shorter
+    run = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / FEWEST_BLOCKS))).cast("long")
+    n_shards = F.least(F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)), F.lit(MOST_SHARDS)).cast("long")
+    sources = written(sources.select("source", "source_no", "source_size", "target", words.cast("long").alias("words"), run.alias("run"), n_shards.alias("n_shards")), "mix-sources")
+
+    rows = units.join(sources, units["source"].eqNullSafe(sources["source"])).drop(units["source"])
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "_d", "_t")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_d", "_t"), F.col("n_shards")))
+    shards = rows.groupBy("source_no", "shard").agg(F.sum(F.col("n") * F.col("size")).alias("shard_size"), F.first("words").alias("words"), F.first("run").alias("run"))
+    quota = F.least(F.col("quota"), F.col("shard_size") * passes)
+    shards = sainte_lague(shards, ["source_no"], "shard", "shard_size", "words").withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(0).cast("long"))
+    shards = shards.withColumn("extra", quota - F.col("rounds") * F.col("shard_size")).select("source_no", "shard", "shard_size", "run", "rounds", "extra")
+    # a shard's runs in seeded order: the one that fills the quota is cut, and those before it are drawn whole
+    drawn = shards.filter("extra > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shard_size") - 1) / F.col("run")))))
+    mark = lambda block: F.xxhash64(F.lit(seed + 2), "source_no", "shard", block)
+    drawn = drawn.withColumn("length", F.least(F.col("run"), F.col("shard_size") - F.col("block") * F.col("run"))).withColumn("mark", mark(F.col("block")))
+    drawn = drawn.withColumn("full", F.sum("length").over(Window.partitionBy("source_no", "shard").orderBy("mark", "block").rowsBetween(Window.unboundedPreceding, 0)))
+    last = drawn.filter((F.col("full") >= F.col("extra")) & (F.col("full") - F.col("length") < F.col("extra"))).select("source_no", "shard", F.struct("mark", "block").alias("last"), (F.col("length") - F.col("full") + F.col("extra")).alias("kept"))
+    quotas = written(shards.select("source_no", "shard", "rounds").join(last, ["source_no", "shard"], "left"), "mix-quotas")
+
+    # a shard's units in seeded order are one line of words; each unit reads from the last run which of its own are drawn
+    order = Window.partitionBy("source_no", "shard").orderBy("draw", "_d", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("stop", F.sum(F.col("n") * F.col("size")).over(order)).withColumn("start", F.col("stop") - F.col("n") * F.col("size")).join(quotas, ["source_no", "shard"])
+    within = lambda place: F.floor((F.least(F.greatest(place, F.col("start")), F.col("stop")) - F.col("start")) / F.col("n"))
+
+    def piece(block: Column) -> Column:
+        here = F.struct(mark(block).alias("mark"), block.alias("block"))
+        length = F.when(here < F.col("last"), F.col("run")).when(here == F.col("last"), F.col("kept")).otherwise(F.lit(0).cast("long"))
+        return F.struct(within(block * F.col("run")).alias("start"), within(block * F.col("run") + length).alias("stop"))
+
+    pieces = F.filter(F.transform(F.sequence(F.floor(F.col("start") / F.col("run")), F.floor((F.col("stop") - 1) / F.col("run"))), piece), lambda r: r["start"] < r["stop"])
+    ranges = F.when(F.col("last").isNotNull() & (F.col("size") > 0), pieces).otherwise(F.array().cast(RANGES))
+    return rows.select("source", "_d", "_t", "source_size", "target", "rounds", ranges.alias("ranges"))
+
+
+def _drawn_words(ranges: str) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    base = with_identity(docs.select("doc_id", "text", "source"))
+    return written(base.select("doc_id", "_d", "_t", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """A row per document: doc_id, size, source_size, target, taken and ranges, the word ranges (start, stop) that are drawn beside its whole copies, in order.
+
+    size counts the words of a text (null or blank: 0). taken is what the mix takes of it, `passes` times its size at most. A source at
+    its cap is taken whole; any other meets its target within half a block of at most a FEWEST_BLOCKSth of the smallest target, and
+    rounding to words. Rows that agree in doc_id, text and source are taken alike, which rounds by their number. A null source is a
+    source of its own, the last one. An empty table gives no rows, and a corpus without words has targets of 0. Other columns are not
+    read. The same table, seed and parameters give the same mix.
+    """
+    base = _base(docs)
+    plan = _plan(base, weights, budget, passes, seed, block_words, shard_words).withColumnRenamed("source", "_source")
+    rows = base.join(plan.withColumnsRenamed({"_d": "_e", "_t": "_u"}), (F.col("_d") == F.col("_e")) & (F.col("_t") == F.col("_u")) & F.col("source").eqNullSafe(F.col("_source")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + _drawn_words("ranges")).alias("taken"), "ranges")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs as the mix takes them (see mix_sources): a row for each whole copy, and one with the drawn words of a document that is taken in part.
 
     Columns are those of docs. A part runs from its first to its last drawn word as the text has them, and drawn ranges that don't touch
-    are parted by a line feed; n_chars, where there is one, counts the new text.
+    are parted by a line feed; n_chars, where there is one, counts the new text. Texts without words are not taken.
     """
-    plan = mix_sources(docs, **options).filter("taken > 0").groupBy("_d", "_t").agg(F.first("size").alias("_size"), F.max(F.struct("taken", "_ranges")).alias("_drawn"))
-    more = F.coalesce(F.col("_drawn._ranges"), F.array().cast("array<struct<start:bigint,stop:bigint>>"))
-    more_words = F.aggregate(more, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
-    full = F.floor((F.col("_drawn.taken") - more_words) / F.col("_size")).cast("int")
-    # a document all of whose blocks are drawn once more is a whole copy
-    takes = F.concat(F.array_repeat(F.array().cast("array<struct<start:bigint,stop:bigint>>"), full + F.when(more_words == F.col("_size"), 1).otherwise(0)), F.when((more_words > 0) & (more_words < F.col("_size")), F.array(more)).otherwise(F.array().cast("array<array<struct<start:bigint,stop:bigint>>>")))
-    rows = with_identity(docs).join(plan, ["_d", "_t"]).withColumn("_take", F.explode(takes))
+    base = _base(docs).filter("size > 0")
+    plan = _plan(base, weights, budget, passes, seed, block_words, shard_words)
+    plan = plan.join(base.select("_d", "_t", "size").distinct(), ["_d", "_t"]).filter("rounds > 0 OR size(ranges) > 0").select(F.col("source").alias("_source"), F.col("_d").alias("_e"), F.col("_t").alias("_u"), "size", "rounds", "ranges")
+    # a document all of whose runs are drawn once more is a whole copy
+    more = _drawn_words("ranges")
+    whole = (F.col("rounds") + F.when(more == F.col("size"), 1).otherwise(0)).cast("int")
+    takes = F.concat(F.array_repeat(F.array().cast(RANGES), whole), F.when((more > 0) & (more < F.col("size")), F.array(F.col("ranges"))).otherwise(F.array().cast(f"array<{RANGES}>")))
+    rows = packed(docs, docs["source"].alias("_own_source"), docs["text"].alias("_text"))
+    rows = rows.join(plan, (F.col("_d") == F.col("_e")) & (F.col("_t") == F.col("_u")) & F.col("_own_source").eqNullSafe(F.col("_source"))).withColumn("_take", F.explode(takes))
 
     def part(pieces: Column) -> Column:
         # words, each with the white space after it; neighbouring blocks stay as they were
@@ -122,13 +159,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         tail = lambda t: F.regexp_replace(t, WHITE_RUN + "\\z", "")
         return F.array_join(F.transform("_take", lambda r, i: F.concat(F.when((i == 0) | touches(i), F.lit("")).otherwise(F.lit("\n")), F.when(touches(i + 1), cut(r)).otherwise(tail(cut(r))))), "")
 
-    pieces = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), 0)
-    rows = rows.withColumn("text", F.when(F.size("_take") == 0, F.col("text")).otherwise(let(pieces, part)))
+    pieces = F.regexp_extract_all("_text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), 0)
+    new = {"text": F.when(F.size("_take") == 0, F.col("_text")).otherwise(let(pieces, part))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return unpacked(rows, docs, new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("_d", "_t", "_ranges")
+    return mix_sources(table(spark, sf_dir, "documents")).drop("ranges")
 
