@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, with_identity
+from .common import hot_join, let, packed, table, unpacked, written
 
 SPAN = 3
 
@@ -34,8 +34,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     )
     rows = docs.filter(F.col("text").contains("\n")).select("_d", "_t", F.explode(windows).alias("w")).select("_d", "_t", "w.a", "w.b", "w.at")
     place = F.struct("_d", "_t", "at")
-    first = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    later = rows.join(first, ["a", "b"]).filter(place != F.col("first"))
+    # written, so that the join sees plain rows on both sides: a window that very many documents share is dealt over many tasks
+    first = written(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), "line-windows")
+    later = hot_join(rows, first, ["a", "b"], "n").filter(place != F.col("first"))
     return later.groupBy("_d", "_t").agg(F.collect_set("at").alias("starts"))
 
 
@@ -47,8 +48,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     one or two lines never change. A null text stays null with 0 lines; an empty one has 1 line. A null doc_id comes before all
     others; rows with equal doc_id and text are one document and get the same text. Other columns stay as they are.
     """
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("_d", "_t", "starts", "n_lines", "n_removed", "a", "b", "at")}
-    base = with_identity(docs.withColumnsRenamed(clash))
+    base = packed(docs, docs["text"].alias("text"))
     joined = base.join(repeated_windows(base), ["_d", "_t"], "left")
 
     def kept(lines, at):
@@ -61,8 +61,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     left = F.when(F.col("starts").isNull(), F.lit(None)).otherwise(let(lines, lambda x: let(F.sort_array("starts"), lambda at: kept(x, at))))
     out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("_left", left)
-    out = out.withColumn("n_removed", F.when(F.col("_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")).cast("long")).withColumn("text", F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")))
-    return out.select(*[F.col(clash.get(c, c)).alias(c) if c in clash else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    n_removed = F.when(F.col("_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")).cast("long")
+    new = {"text": F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))}
+    return unpacked(out, docs, new, {"n_lines": F.col("n_lines"), "n_removed": n_removed})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
