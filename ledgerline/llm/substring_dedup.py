@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_identity, written
+from .common import hot_join, table, with_identity, written
 from .words import U, Words, mix, pieces, texts
 
 SPAN = 35
@@ -98,18 +98,26 @@ def _digests(span: int):
 
 def _edges(span: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The edges of the opened paths, by two hashes, with the path's digest and the edge's place in it."""
+        """The edges of the opened paths, each by the digest of its words, read at their source coordinates, with the path's digest and the edge's place in it."""
         for batch in pieces(batches, "text"):
-            w = Words(*texts(batch.column("text")))
-            a, b = w.runs(span, 11), w.runs(span, 12)
-            rows = [(f, s) for f, spans in zip(w.first.tolist(), batch.column("spans").to_pylist(), strict=False) for s in spans]
-            if not rows:
+            out: list[list] = [[], [], [], []]
+            digests, bits = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                words = text.encode().split()
+                line = b" ".join(words)
+                at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+                for s in spans:
+                    for bit in range(s["n"]):
+                        i = s["start"] + bit
+                        digests.append(hashlib.blake2b(line[at[i] : at[i + span] - 1], digest_size=16).digest())
+                    bits.append(np.arange(s["n"], dtype=np.int32))
+                    for column, value in zip(out, (s["m"], s["g"], s["h"], s["n"]), strict=True):
+                        column.append(value)
+            if not digests:
                 continue
-            n = np.array([s["n"] for _, s in rows])
-            bit = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-            at = np.repeat(np.array([f + s["start"] for f, s in rows]), n) + bit
-            same = [pa.array(np.repeat(np.array([s[k] for _, s in rows], np.int64), n)) for k in ("m", "g", "h")]
-            yield pa.RecordBatch.from_arrays([_signed(a[at]), _signed(b[at]), *same, pa.array(bit.astype(np.int32))], ["a", "b", "m", "g", "h", "bit"])
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            same = [pa.array(np.repeat(np.array(c, np.int64), out[3])) for c in out[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), *same, pa.array(np.concatenate(bits))], ["a", "b", "m", "g", "h", "bit"])
 
     return go
 
@@ -145,19 +153,19 @@ def repeated_paths(base: DataFrame, span: int = SPAN, run: int = RUN) -> tuple[D
     and the texts that have any path whose minimizer is repeated (_d, _t, text)."""
     found = base.mapInArrow(_find_paths(span, run), "_d long, _t long, m long, start long, n long")
     # paths are found once more rather than written: that takes less than keeping all of them
-    again = found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m")
-    near = found.join(again, "m").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "start", "n")).alias("spans"))
+    again = written(found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-minimizers")
+    near = hot_join(found, again, ["m"], "c").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "start", "n")).alias("spans"))
     some = written(base.join(near, ["_d", "_t"]), "substring-texts")
     # repeated rows are one text here, that still repeats itself: each row counts below
     rows = written(some.mapInArrow(_digests(span), "_d long, _t long, m long, g long, h long, start long, n long"), "substring-paths")
     kinds = written(rows.groupBy("m", "g", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_t", "start", "n")).alias("one")), "substring-kinds")
-    branching = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("m")
-    opened = kinds.join(branching, "m").select("m", "g", "h", "one.*").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "g", "h", "start", "n")).alias("spans"))
+    branching = written(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "substring-branching")
+    opened = hot_join(kinds, branching, ["m"], "k").select("m", "g", "h", "one.*").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "g", "h", "start", "n")).alias("spans"))
     edges = written(some.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(opened, ["_d", "_t"]).mapInArrow(_edges(span), "a long, b long, m long, g long, h long, bit int"), "substring-edges")
-    twice = edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
-    masks = edges.join(twice, ["a", "b"]).groupBy("m", "g", "h").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    marked = kinds.join(masks, ["m", "g", "h"], "left").withColumn("mask", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.col("bits"))).filter("mask IS NOT NULL").select("m", "g", "h", "mask")
-    hits = rows.join(marked, ["m", "g", "h"]).select("_d", "_t", "start", "n", "mask")
+    twice = written(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-twice")
+    masks = hot_join(edges, twice, ["a", "b"], "c").groupBy("m", "g", "h").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    marked = kinds.join(masks, ["m", "g", "h"], "left").withColumn("mask", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.col("bits"))).filter("mask IS NOT NULL").select("m", "g", "h", "c", "mask")
+    hits = hot_join(rows, written(marked, "substring-marked"), ["m", "g", "h"], "c").select("_d", "_t", "start", "n", "mask")
     return hits, some.select("_d", "_t", "text")
 
 
