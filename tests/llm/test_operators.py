@@ -64,13 +64,16 @@ def test_directory_splits_overfull_buckets(spark):
     from pyspark.sql import functions as F
 
     keys = spark.range(2000).select(F.xxhash64("id").alias("h"))
-    rows = exact_dedup.directory(keys, capacity=100).collect()
-    assert max(r["depth"] for r in rows) >= 5
-    load = Counter()
-    cells = dict(keys.groupBy(exact_dedup._prefix(F.col("h"), exact_dedup.MAX_DEPTH).alias("c")).count().collect())
-    for r in rows:
-        load[r["bucket"], r["depth"]] += cells[r["_cell"]]
-    assert max(load.values()) <= 100 and sum(load.values()) == 2000
+    buckets = exact_dedup.directory(keys, capacity=70)
+    rows = buckets.collect()
+    assert max(r["depth"] for r in rows) > min(r["depth"] for r in rows) >= 5 and max(r["load"] for r in rows) <= 70 and sum(r["load"] for r in rows) == 2000
+    found = exact_dedup.routed(keys, buckets).collect()
+    load = Counter((r["bucket"], r["depth"]) for r in found)
+    assert len(found) == 2000 and sorted(load.values()) == sorted(r["load"] for r in rows)
+    assert all(r["bucket"] <= r["h"] < r["bucket"] + (1 << 64 - r["depth"]) for r in found)
+    # neighbouring keys
+    close = exact_dedup.directory(spark.range(5).select(F.shiftleft("id", 56).alias("h")), capacity=1).collect()
+    assert all(r["load"] == 1 for r in close) and max(r["depth"] for r in close) == 8
 
 
 def test_line_dedup(docs, texts):
