@@ -1,11 +1,12 @@
 """5. N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 Each tree labels a text with a sequence of MinHash values, packed so that sorted
-labels are the tree's prefix trie. Matching starts at whole labels and shortens
-the prefix until a pair at the threshold meets in some tree with the target
-recall. Texts that meet form candidate groups; in blocks of a group, all pairs
-are verified by their exact sets of word runs, and only counts and a spanning
-forest leave a block.
+labels are the tree's prefix trie. A text's search starts at its whole labels.
+As long as a pair at the threshold would meet with less than the target recall,
+the text shortens its prefix by a value, each time in the tree where that adds
+the fewest texts. Texts that meet form candidate groups; in blocks of a group,
+read one after another, pairs are verified by their exact sets of word runs, and
+only counts and a spanning forest leave a block.
 """
 
 from __future__ import annotations
@@ -14,25 +15,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, with_identity, written
+from .common import hot_join, packed, table, unpacked, with_identity, written
 from .words import U, Words, mix, pieces, texts
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 RECALL = 0.999
 TREES, DEPTH, VALUE_BITS = 16, 5, 12
-#: Texts a block of a group at least; a group is cut into MOST_BLOCKS at most until blocks would pass LARGEST_BLOCK.
-BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 64, 40, 4096
+#: Texts a block of a group at least; a group is cut into MOST_BLOCKS at most until blocks would pass LARGEST_BLOCK texts or BLOCK_WORDS words.
+BLOCK, MOST_BLOCKS, LARGEST_BLOCK, BLOCK_WORDS = 64, 40, 4096, 2_000_000
 
 
-def prefix_depth(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix by which a pair at the threshold meets in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def search_depth(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> tuple[int, int]:
+    """(depth, k): a pair at the threshold meets with the target recall by prefixes of this depth, of one value less in k trees; whole labels if they do."""
+    missed = lambda k: (1 - threshold**depth) ** (trees - k) * (1 - threshold ** (depth - 1)) ** k
+    while depth > 1:
+        for k in range(trees):
+            if missed(k) <= 1 - recall:
+                return depth, k
         depth -= 1
-    return depth
+    return 1, 0
+
+
+def forest_edges(kinds: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Edges (u, v) that connect the texts (node, labels) that meet in the forest: a star for each node of a trie that some search reaches."""
+    depth, k = search_depth(threshold, recall)
+    cut = lambda d: F.shiftright("label", VALUE_BITS * (DEPTH - d))
+    leaves = kinds.select("node", F.posexplode("labels").alias("tree", "label")).select("node", "tree", cut(depth).alias("deep"), cut(max(1, depth - 1)).alias("short"))
+    # a trie's nodes that hold one text alone lead nowhere
+    above = written(leaves.groupBy("tree", "short").agg(F.count(F.lit(1)).alias("n_short")).filter("n_short > 1"), "forest-short")
+    met = written(hot_join(leaves, above, ["tree", "short"], "n_short"), "forest-met")
+    deep = written(met.groupBy("tree", "deep").agg(F.count(F.lit(1)).alias("n_deep"), F.min("node").alias("centre")), "forest-deep")
+    met = hot_join(met, deep, ["tree", "deep"], "n_deep")
+    # trees where a text is alone are shortened for nothing, and count first
+    mine = Window.partitionBy("node")
+    to_shorten = F.lit(k - TREES) + F.count(F.lit(1)).over(mine)
+    nth = F.row_number().over(mine.orderBy(F.col("n_short") - F.col("n_deep"), "tree"))
+    met = written(met.withColumn("shortens", nth <= to_shorten), "forest-searches")
+    stars = met.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
+    wide = met.groupBy("tree", "short").agg(F.max("shortens").alias("any"), F.min("node").alias("u")).filter("any").select("tree", "short", "u")
+    wide = met.select("tree", "short", F.col("centre").alias("v")).distinct().join(wide, ["tree", "short"]).filter("u <> v").select("u", "v")
+    return stars.unionByName(wide).distinct()
 
 
 def _runs(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,78 +147,84 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     return (p + q) * common.astype(np.int64) >= p * both
 
 
+def _verified(group: pa.Table, threshold: tuple[int, int]) -> pa.RecordBatch | None:
+    """(node, links, to) of one pair of blocks of a group: what each text is linked to, and the least text that links lead to."""
+    node, copies, part = (group.column(c).to_numpy() for c in ("node", "copies", "part"))
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    some = np.unique(node, return_index=True)[1]  # repeated rows of one text
+    left, right = (np.flatnonzero(part[some] == x) for x in (i, j))
+    if len(some) < 2 or not len(left) or not len(right):
+        return None
+    sets = []
+    for piece in pieces(iter(group.select(["text"]).take(pa.array(some)).combine_chunks().to_batches()), "text"):
+        runs, first = _runs(Words(*texts(piece.column("text"))), SHINGLE)
+        sets += [np.unique(runs[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    linked = _linked(sets, left, right, threshold)
+    if i == j:
+        linked &= ~np.eye(len(some), dtype=bool)
+    links = np.zeros(len(some), np.int64)
+    links[left] += linked @ copies[some][right]
+    if i != j:
+        links[right] += linked.T @ copies[some][left]
+    # least label of what a text is linked to, until nothing changes; texts are in order here
+    label = np.arange(len(some))
+    while True:
+        new = label.copy()
+        for a, b, m in ((left, right, linked), (right, left, linked.T)):
+            new[a] = np.minimum(new[a], np.where(m, label[b][None, :], len(some)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links), pa.array(node[some][label])], ["node", "links", "to"])
+
+
 def _verify(threshold: tuple[int, int]):
-    def go(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        node, root, copies = (group.column(c).to_numpy() for c in ("node", "root", "copies"))
-        part, i, j = (group.column(c).to_numpy() for c in ("part", "i", "j"))
-        keep = np.unique(node, return_index=True)[1]  # repeated rows of one text
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * 3
-        found = []
-        for some in np.split(keep[np.argsort(root[keep], kind="stable")], np.flatnonzero(np.diff(np.sort(root[keep]))) + 1):
-            if len(some) < 2:
-                continue
-            sets = []
-            for piece in pieces(iter(group.select(["text"]).take(pa.array(some)).combine_chunks().to_batches()), "text"):
-                runs, first = _runs(Words(*texts(piece.column("text"))), SHINGLE)
-                sets += [np.unique(runs[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            every = np.arange(len(some))
-            apart = i[some[0]] != j[some[0]]
-            left, right = (np.flatnonzero(part[some] == i[some[0]]), np.flatnonzero(part[some] == j[some[0]])) if apart else (every, every)
-            if not len(left) or not len(right):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (root, i, j); those of one pair of blocks are held at a time."""
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            linked = _linked(sets, left, right, threshold)
-            if not apart:
-                linked &= ~np.eye(len(some), dtype=bool)
-            links = np.zeros(len(some), np.int64)
-            links[left] += linked @ copies[some][right]
-            if apart:
-                links[right] += linked.T @ copies[some][left]
-            # least label of what a text is linked to, until nothing changes
-            label = np.argsort(np.argsort(node[some]))
-            while True:
-                new = label.copy()
-                for a, b, m in ((left, right, linked), (right, left, linked.T)):
-                    least = np.where(m, label[b][None, :], len(some)).min(1)
-                    new[a] = np.minimum(new[a], least)
-                if (new == label).all():
-                    break
-                label = new
-            found.append((node[some], links, np.sort(node[some])[label]))
-        if found:
-            out = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pa.table({"node": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "to": pa.array(out[2], pa.int64())})
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[:, a])
+                if key != now and held:
+                    out = _verified(pa.Table.from_batches(held).combine_chunks(), threshold)
+                    held = []
+                    if out is not None:
+                        yield out
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            out = _verified(pa.Table.from_batches(held).combine_chunks(), threshold)
+            if out is not None:
+                yield out
 
     return go
 
 
-def _groups(docs: DataFrame, threshold: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
-    """(_d, _t, node) of all documents, and (node, copies, links, root, _least) of all distinct word sequences."""
-    spark = docs.sparkSession
-    base = with_identity(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("_d", "_t", "text")
+def _groups(base: DataFrame, threshold: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
+    """Of base (_d, _t, text): (_d, _t, node) of all documents, and (node, copies, links, root, _least) of all distinct word sequences."""
     marked = written(base.mapInArrow(_label, "_d long, _t long, a long, b long, n long, labels array<long>"), "join-labels")
     kinds = written(marked.groupBy("a", "b", "n", "labels").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_d", "_t")).alias("one")).select(F.col("a").alias("node"), "n", "labels", "copies", "one"), "join-kinds")
+    near = components(forest_edges(kinds.filter("n > 0").select("node", "labels"), threshold[0] / threshold[1], recall))
 
-    shift = VALUE_BITS * (DEPTH - prefix_depth(threshold[0] / threshold[1], recall))
-    meets = kinds.filter("n > 0").select("node", F.posexplode("labels").alias("tree", "label")).select("node", "tree", F.shiftright("label", shift).alias("prefix"))
-    centre = meets.groupBy("tree", "prefix").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("tree", "prefix", "u")
-    stars = meets.join(centre, ["tree", "prefix"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct()
-    near = components(stars)
-
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGEST_BLOCK)))).cast("int")
-    members = kinds.join(near.join(sizes, "root").select("node", "root", blocks.alias("blocks")), "node").select("one._d", "one._t", "node", "root", "copies", "blocks")
-    bins = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a group of one block shares a task with others; of a larger one, each pair of blocks is a task
+    members = written(kinds.select("node", "n", "copies", "one").join(near, "node"), "join-members")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"))
+    blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGEST_BLOCK))), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("one._d", "one._t", "node", "root", "copies", "blocks")
+    # each pair of blocks of a group is read by itself
     rows = base.join(members, ["_d", "_t"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "root", "copies", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("bin"), (F.col("blocks") == 1).alias("small"), "text")
-    checked = written(rows.groupBy("small", "bin", "i", "j").applyInArrow(_verify(threshold), "node long, links long, to long"), "join-checked")
+    rows = rows.select("node", "root", "copies", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "text")
+    checked = written(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(threshold), "node long, links long, to long"), "join-checked")
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(checked.filter("to <> node").select(F.col("to").alias("u"), F.col("node").alias("v")))
     kinds = kinds.join(links, "node", "left").join(final, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"), "one")
     least = kinds.groupBy("root").agg(F.min("one").alias("_least"))
-    return marked.select("_d", "_t", F.col("a").alias("node")), kinds.join(least, "root")
+    return marked.select("_d", "_t", F.col("a").alias("node")), written(kinds.join(least, "root"), "join-classes")
 
 
 def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -203,7 +235,8 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall
     of those that links connect. Texts without words, null ones too, are linked to each other only. A null doc_id comes first and
     gives a null class_id. Rows that repeat doc_id and text count as copies. An empty table gives no rows.
     """
-    rows, kinds = _groups(docs, threshold, recall)
+    base = with_identity(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("_d", "_t", "text")
+    rows, kinds = _groups(base, threshold, recall)
     out = rows.join(kinds.select("node", "copies", "links", "_least"), "node")
     real = lambda c: F.when(c != F.lit(-(1 << 63)), c)
     return out.select(real(F.col("_d")).alias("doc_id"), real(F.col("_least._d")).alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"))
@@ -211,9 +244,10 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall
 
 def one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs less all but the document of the least doc_id of each class (see jaccard_join). Rows that repeat both its doc_id and text stay too."""
-    _, kinds = _groups(docs, threshold, recall)
+    rows = packed(docs, F.coalesce(docs["text"], F.lit("")).alias("text"), text=F.coalesce(docs["text"], F.lit("")))
+    _, kinds = _groups(rows.select("_d", "_t", "text"), threshold, recall)
     stay = kinds.select("_least._d", "_least._t").distinct()
-    return with_identity(docs.withColumn("_x", F.coalesce("text", F.lit(""))), text_col="_x").join(stay, ["_d", "_t"], "left_semi").select(*docs.columns)
+    return unpacked(rows.join(stay, ["_d", "_t"], "left_semi"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,8 +137,39 @@ def test_ngram_join_in_blocks(spark):
     assert {i: r["n_links"] for i, r in got.items()} == want
 
 
-def test_prefix_is_shortened_to_the_recall():
-    assert ngram_join.prefix_depth(0.8) == 4 and ngram_join.prefix_depth(0.8, 0.9) == 5 and ngram_join.prefix_depth(0.5, 0.999) == 1
+def test_search_is_shortened_to_the_recall():
+    assert ngram_join.search_depth(0.8, 0.9) == (5, 0) and ngram_join.search_depth(0.8) == (5, 5) and ngram_join.search_depth(0.5, 0.999)[0] == 2
+    for t, recall in ((0.8, 0.999), (0.8, 0.99999), (0.6, 0.99)):
+        d, k = ngram_join.search_depth(t, recall)
+        assert 1 - (1 - t**d) ** (16 - k) * (1 - t ** (d - 1)) ** k >= recall
+
+
+def test_forest_against_searches_by_hand(spark):
+    """Each text shortens its prefix in the trees where that adds the fewest; texts that any search finds are connected."""
+    rng = np.random.default_rng(11)
+    values = [[int(x) for x in rng.integers(0, 4, ngram_join.TREES * ngram_join.DEPTH)] for _ in range(60)]
+    labels = [[sum(v[t * 5 + d] << (12 * (4 - d)) for d in range(5)) for t in range(ngram_join.TREES)] for v in values]
+    prefix = lambda i, t, d: labels[i][t] >> 12 * (5 - d)
+    near = {i: set() for i in range(60)}
+    for i in range(60):
+        size = lambda t, d: sum(prefix(j, t, d) == prefix(i, t, d) for j in range(60))
+        order = sorted(range(16), key=lambda t: (size(t, 4) > 1, size(t, 4) - size(t, 5), t))
+        for n, t in enumerate(order):
+            d = 4 if n < 5 else 5
+            for j in range(60):
+                if prefix(j, t, d) == prefix(i, t, d):
+                    near[i].add(j)
+                    near[j].add(i)
+    kinds = spark.createDataFrame([(i, labels[i]) for i in range(60)], "node long, labels array<long>")
+    roots = dict(ngram_join.components(ngram_join.forest_edges(kinds, 0.8, 0.999)).collect())
+    for i in range(60):
+        reach, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - reach
+            reach |= new
+            todo += new
+        assert roots.get(i, i) == min(reach)
+    assert len(set(roots.values())) > 1
 
 
 def test_fingerprints(docs, texts):
