@@ -25,9 +25,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     found = engine_queries.queries()
     engine = Engine(spark, index_dir=engine_queries.scratch(spark, "bench"))
-    began = time.perf_counter()
-    engine.create_index(f"{sf}/lineitem.parquet", ["l_orderkey"])
-    times = {"index_build": time.perf_counter() - began}
+    engine.create_index(f"{sf}/orders.parquet", ["o_orderkey"])  # warm
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        engine.create_index(f"{sf}/lineitem.parquet", ["l_orderkey"])
+        took.append(time.perf_counter() - began)
+    times = {"index_build": statistics.median(took)}
     runs = {k: (lambda f=found[k]: f(spark, sf)) for k in HEADLINE}
     runs["lookup_indexed"] = lambda: engine.find(f"{sf}/lineitem.parquet").where({"l_orderkey": 4242}).all()
     runs["lookup_scan"] = lambda: Engine(spark).find(f"{sf}/lineitem.parquet").where({"l_orderkey": 4242}).all()

@@ -99,6 +99,13 @@ def _text(cell: Column, dtype: str) -> Column:
     return cell if dtype == "string" else cell.cast("string")
 
 
+def columns_of(tree: object) -> list[str]:
+    """Columns that a condition names."""
+    if not isinstance(tree, dict):
+        return []
+    return [x for c in tree["children"] for x in columns_of(c)] if tree["operator"] in ("AND", "OR") else [str(tree.get("column"))]
+
+
 def equalities(tree: object) -> dict[str, str]:
     """Lower-cased columns and values of the equalities that every matching row meets: a top equality, or those under ANDs from the top."""
     if not isinstance(tree, dict):

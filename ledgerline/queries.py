@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.index import fingerprint
 from .operators.overlay import apply_updates
 from .plans.engine import Engine
 from .plans.query import Query
+from .plans.request import execute_request
+from .sources.delimited import files_of
 
 Run = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Run, str | None]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place of the session, or under /tmp where there is none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/ledgerline"
+    """A new folder in the shared place of the session, or in Spark's warehouse where there is none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -106,7 +110,17 @@ FOUND["group_avg_mixed"] = (
     "SELECT event_type, round(avg(CASE WHEN event_type = 'click' OR user_id % 3 = 0 THEN 0.0 ELSE CAST(user_id AS DOUBLE) END), 6) AS value FROM events GROUP BY event_type",
 )
 simple("distinct_count", "lineitem", "SELECT count(DISTINCT l_partkey) AS value FROM lineitem", lambda q: q.aggregate("distinct", "l_partkey").all())
-simple("order_by_desc", "customer", "SELECT c_custkey, c_acctbal FROM customer", lambda q: q.order_by({"c_acctbal": "DESC", "c_custkey": "ASC"}).select("c_custkey", "c_acctbal").all())
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """df with each row's place; the frame is ordered, and its partitions are in order."""
+    return df.select("*", F.monotonically_increasing_id().alias("_id")).select(*df.columns, F.row_number().over(Window.orderBy("_id")).cast("long").alias("place"))
+
+
+simple(
+    "order_by_desc", "customer", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer",
+    lambda q: _placed(q.order_by({"c_acctbal": "DESC", "c_custkey": "ASC"}).select("c_custkey", "c_acctbal").all()),
+)
 simple("top_k", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda q: q.order_by("o_totalprice", "DESC").order_by("o_orderkey").limit(10).select("o_orderkey", "o_totalprice").all())
 simple("first_row", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 1", lambda q: q.where({"o_orderstatus": "F"}).order_by("o_orderkey").select("o_orderkey").first_row())
 simple("limit_offset", "customer", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 35", lambda q: q.order_by("c_custkey").limit(20).offset(35).select("c_custkey").all())
@@ -152,16 +166,156 @@ def _append(s: SparkSession, d: str) -> DataFrame:
     return engine.find(path).group_by("r_name").count_df()
 
 
-@add("row_locators", None)
+def _csv(s: SparkSession, d: str, table: str, *columns: str, sep: str = ",", order: str | None = None) -> str:
+    """A small table as one delimited file."""
+    df = find(s, d, table).select(*columns).all()
+    path = scratch(s, "csv") + ".csv"
+    df.orderBy(order or columns[0]).coalesce(1).write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    return path
+
+
+LOCATED = "(SELECT *, CAST(row_number() OVER o + 1 AS BIGINT) AS line, CAST(strlen('n_nationkey,n_name,n_regionkey') + 1 + coalesce(sum(strlen(concat_ws(',', n_nationkey, n_name, n_regionkey)) + 1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM nation WINDOW o AS (ORDER BY n_nationkey))"
+
+
+@add("row_locators", f'SELECT "offset", line FROM {LOCATED} WHERE n_regionkey = 2')
 def _locators(s: SparkSession, d: str) -> DataFrame:
+    return Engine(s).find(_csv(s, d, "nation", "n_nationkey", "n_name", "n_regionkey"), locators=True).where({"n_regionkey": 2}).locators()
+
+
+@add("index_locators", f'SELECT "offset", line FROM {LOCATED} WHERE n_regionkey = 3')
+def _index_locators(s: SparkSession, d: str) -> DataFrame:
+    path, engine = _csv(s, d, "nation", "n_nationkey", "n_name", "n_regionkey"), Engine(s, index_dir=scratch(s, "index"))
+    engine.create_index(path, ["n_regionkey"], covering=False)
+    return engine.catalog(path).best({"n_regionkey": "3"})[1].filter("n_regionkey = '3'").select("offset", "line")
+
+
+@add("csv_quoted_line_feeds", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE doc_id < 100 AND text <> '' AND trim(text) = text AND NOT contains(text, chr(13))")
+def _quoted(s: SparkSession, d: str) -> DataFrame:
+    df = find(s, d, "documents").df.filter("doc_id < 100 AND text <> '' AND trim(text) = text AND NOT contains(text, char(13))").select(F.concat("doc_id", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')).alias("line"))
     path = scratch(s, "csv") + ".csv"
-    find(s, d, "nation").df.orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
-    return Engine(s).find(path, locators=True).where({"n_regionkey": 2}).locators()
+    s.createDataFrame([("doc_id,text",)], "line string").unionByName(df).coalesce(1).write.text(path)
+    return Engine(s).find(path, locators=True).select("doc_id", "text").all()
+
+
+@add("csv_numeric_top_k", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part ORDER BY part.p_size DESC, part.p_partkey LIMIT 25")
+def _numeric_top(s: SparkSession, d: str) -> DataFrame:
+    return Engine(s).find(_csv(s, d, "part", "p_partkey", "p_size")).numeric().order_by({"p_size": "DESC", "p_partkey": "ASC"}).limit(25).all()
+
+
+@add("csv_virtual_columns", "SELECT 'north' AS site, CAST(count(*) AS BIGINT) AS count FROM nation")
+def _virtual(s: SparkSession, d: str) -> DataFrame:
+    path, engine = _csv(s, d, "nation", "n_nationkey", "n_name"), Engine(s)
+    engine.save_schema(path, {"site": "north"})
+    return engine.find(path).where({"site": "north"}).group_by("site").count_df()
+
+
+@add("csv_updates", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE n_nationkey WHEN 0 THEN 'FIRST' ELSE n_name END AS n_name FROM nation")
+def _csv_updates(s: SparkSession, d: str) -> DataFrame:
+    path, engine = _csv(s, d, "nation", "n_nationkey", "n_name"), Engine(s)
+    engine.save_updates(path, {2: {"n_name": "FIRST"}})
+    return engine.find(path).select("n_nationkey", "n_name").all()
+
+
+@add("csv_separator", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region WHERE r_name > 'AMERICA'")
+def _separator(s: SparkSession, d: str) -> DataFrame:
+    return Engine(s, sep="|").find(_csv(s, d, "region", "r_regionkey", "r_name", sep="|")).where([">", "r_name", "AMERICA"]).all()
+
+
+@add("reader_metadata", "SELECT * FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) AS t(name)")
+def _headers(s: SparkSession, d: str) -> DataFrame:
+    path = _csv(s, d, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return s.createDataFrame([(c,) for c in Engine(s).validate(path, ["N_NATIONKEY", "n_name", "N_RegionKey"])], "name string")
+
+
+def _refused(s: SparkSession, tries: dict[str, Callable[[], object]]) -> DataFrame:
+    """The names of what raises ValueError."""
+    found = []
+    for name, run in tries.items():
+        try:
+            run()
+        except ValueError:
+            found.append((name,))
+    return s.createDataFrame(found, "refused string")
+
+
+@add("errors", "SELECT * FROM (VALUES ('operator'), ('function'), ('group key'), ('filter column'), ('index column'), ('header')) AS t(refused)")
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    q, engine = find(s, d, "nation"), Engine(s, index_dir=scratch(s, "index"))
+    path = _csv(s, d, "region", "r_regionkey", "r_name")
+    return _refused(s, {
+        "none": lambda: q.where({"n_name": "PERU"}).all(), "operator": lambda: q.where(["~", "n_name", "x"]).all(), "function": lambda: q.aggregate("median", "n_regionkey").all(), "group key": lambda: q.group_by("nope").count_df(),
+        "filter column": lambda: q.where({"nope": 1}).all(), "index column": lambda: engine.create_index(f"{d}/nation.parquet", ["nope"]), "header": lambda: engine.append(q.df, path),
+    })
+
+
+@add("request_count", "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '2-HIGH'")
+def _request_count(s: SparkSession, d: str) -> DataFrame:
+    where = {"operator": "OR", "children": [{"operator": "=", "column": "o_orderstatus", "value": "F"}, {"operator": "=", "column": "o_orderpriority", "value": "2-HIGH"}]}
+    out = execute_request(s, json.dumps({"action": "count", "csv": f"{d}/orders.parquet", "where": where}))
+    return s.createDataFrame([(out["count"],)], "count long")
+
+
+@add("request_groups", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY o_orderpriority")
+def _request_groups(s: SparkSession, d: str) -> DataFrame:
+    return rounded(execute_request(s, {"action": "query", "csv": f"{d}/orders.parquet", "groupBy": "o_orderpriority", "aggFunc": "sum", "aggCol": "o_totalprice"})["data"], 2)
+
+
+@add("request_locators", f'SELECT "offset", line FROM {LOCATED} WHERE n_regionkey = 1 ORDER BY line LIMIT 3 OFFSET 1')
+def _request_locators(s: SparkSession, d: str) -> DataFrame:
+    where = {"operator": "=", "column": "n_regionkey", "value": "1"}
+    return execute_request(s, {"action": "query", "csv": _csv(s, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "where": where, "limit": 3, "offset": 1})["data"]
+
+
+@add("request_index", "SELECT 'ok' AS status, count(*) AS count FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'error', 0")
+def _request_index(s: SparkSession, d: str) -> DataFrame:
+    path, where = f"{d}/orders.parquet", scratch(s, "index")
+    made = execute_request(s, {"action": "index", "csv": path, "cols": '["o_orderpriority"]', "indexDir": where})
+    count = execute_request(s, {"action": "query", "csv": path, "indexDir": where, "where": {"o_orderpriority": "1-URGENT"}, "countOnly": True})["count"]
+    return s.createDataFrame([(made["status"], count), (execute_request(s, {"action": "drop", "csv": path})["status"], 0)], "status string, count long")
+
+
+@add("groups_json", "SELECT '{' || string_agg('\"' || o_orderstatus || '\": ' || n, ', ' ORDER BY o_orderstatus) || '}' AS json FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus)")
+def _groups_json(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(find(s, d, "orders").group_by("o_orderstatus").aggregate("count").groups_json(),)], "json string")
 
 
-@add("explain_plan", None)
+@add("explain_plan", "SELECT * FROM (VALUES ('Index: o_orderstatus', TRUE), ('Index: none', TRUE)) AS t(index, filtered)")
 def _explain(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(find(s, d, "orders").where({"o_orderstatus": "F"}).select("o_orderkey").explain(),)], "plan string")
+    plans = [_indexed(s, d, ["o_orderstatus"]).where({"o_orderstatus": "F"}).explain(), find(s, d, "orders").where({"o_orderstatus": "F"}).explain()]
+    return s.createDataFrame([(p.split("\n")[0], "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in p) for p in plans], "index string, filtered boolean")
+
+
+@add("index_stale", "SELECT * FROM (VALUES ('Index: n_name', 25), ('Index: none', 26)) AS t(index, rows)")
+def _stale(s: SparkSession, d: str) -> DataFrame:
+    path, engine, found = scratch(s, "table") + ".parquet", Engine(s, index_dir=scratch(s, "index")), []
+    find(s, d, "nation").df.write.parquet(path)
+    engine.create_index(path, ["n_name"])
+    for grow in (False, True):
+        if grow:
+            find(s, d, "nation").df.limit(1).write.mode("append").parquet(path)
+        found.append((engine.find(path).where({"n_name": "PERU"}).explain().split("\n")[0], engine.find(path).count()))
+    return s.createDataFrame(found, "index string, rows int")
+
+
+@add("index_bloom", "SELECT 'o_orderkey' AS name")
+def _bloom(s: SparkSession, d: str) -> DataFrame:
+    """Columns that have a Bloom filter in every row group of the index; those of few values have a dictionary instead."""
+    engine, path, jvm = Engine(s, index_dir=scratch(s, "index")), f"{d}/orders.parquet", s._jvm
+    engine.create_index(path, ["o_orderkey"])
+    have: list[set] = []
+    for name, _, _ in files_of(s, f"{engine.catalog(path).folder}/o_orderkey"):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), s._jsc.hadoopConfiguration()))
+        try:
+            have += [{c.getPath().toDotString() for c in block.getColumns() if c.getBloomFilterOffset() >= 0} for block in reader.getFooter().getBlocks()]
+        finally:
+            reader.close()
+    return s.createDataFrame([(c,) for c in set.intersection(*have)], "name string")
+
+
+@add("fingerprint", "SELECT TRUE AS same, TRUE AS sha1")
+def _fingerprint(s: SparkSession, d: str) -> DataFrame:
+    a, b, other = (fingerprint(s, f"{d}/{t}.parquet") for t in ("nation", "nation", "region"))
+    return s.createDataFrame([(a == b and a["hash"] != other["hash"], len(a["hash"]) == 40)], "same boolean, sha1 boolean")
 
 
 def queries() -> dict[str, Run]:
