@@ -245,6 +245,7 @@ class Model:
         """Numbers of the best path's pieces, given out as soon as all surviving paths share them; the lattice is held from the last commitment on."""
         top, longest, bpe, scores, charge = self.trie, self.longest, self.kind == BPE, self.scores, self.charge
         base, size, wide = 0, len(text), 2 * self.longest  # base: committed so far
+        look = wide  # where surviving paths are next traced back; paths that don't meet put it off by what was traced, so all looks together take linear time
         back: dict[int, int] = {0: 0}  # end of a path -> start of its last piece
         last: dict[int, int] = {0: -1}  # -> number of its last piece
         best: dict[int, float] = {0: 0.0}
@@ -282,7 +283,7 @@ class Model:
                         best[stop], last[stop], back[stop] = score + scores[piece], piece, start
                 if text[start] not in self.ids and (start + 1 not in best or score + charge > best[start + 1]):
                     best[start + 1], last[start + 1], back[start + 1] = score + charge, self._number(text[start]), start
-            if start - base >= wide:
+            if start >= look:
                 # ends from which a path can still grow; the latest steps back until all have met
                 live = {end for end in back if end > start}
                 while len(live) > 1:
@@ -296,6 +297,7 @@ class Model:
                         del back[end], last[end]
                         best.pop(end, None)
                     base = meet
+                look = start + max(wide, (start - base) // 2)
         if size not in last:
             raise ValueError(f"no path through {text[max(0, size - longest) :]!r}")
         yield self._path(back, last, base, size)
