@@ -71,9 +71,11 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, salts:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a new local one; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -15,8 +15,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, with_identity, written
+from .common import let, packed, table, unpacked, written
 
+#: The secret that surrogates are drawn by, where the caller gives none.
 KEY = "ledgerline"
 #: From this attempt on, mail names and secrets grow by a digit an attempt, so their room has no end.
 GROWS_FROM = 4
@@ -35,6 +36,7 @@ ENDS = {"latin": ("bach", "den", "feld", "gard", "hart", "ker", "lund", "man", "
 FEMALE = ("Mrs.", "Ms.", "Miss", "Frau", "Mme", "Madame", "Sra.", "Señora", "Г-жа")
 MALE = ("Mr.", "Herr", "M.", "Monsieur", "Sr.", "Señor", "Г-н")
 
+_NAME = "\\p{Lu}(?:\\p{L}|['\u2019-](?=\\p{L}))+"
 _TITLE = "|".join(t.replace(".", "\\.") for t in (*FEMALE, *MALE))
 #: Types, first match wins. Lookarounds keep longer runs of digits or letters from matching in part.
 PATTERNS: dict[str, str] = {
@@ -46,7 +48,8 @@ PATTERNS: dict[str, str] = {
     "card": "(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": "(?<![0-9A-Za-z+])(?:\\+[0-9]{1,3}[ .-]?\\(?[0-9]{1,4}\\)?(?:[ .-]?[0-9]{2,4}){2,4}|\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "ipv4": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "name": f"(?<![\\p{{L}}])(?:{_TITLE}) \\p{{Lu}}\\p{{L}}{{1,30}}(?: \\p{{Lu}}\\p{{L}}{{1,30}})?",
+    # parts of a name may be joined by hyphens or apostrophes
+    "name": f"(?<![\\p{{L}}])(?:{_TITLE}) {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What each match holds: a text without it needs no further look.
@@ -57,9 +60,9 @@ def kind_of(entity: Column) -> Column:
     return F.coalesce(*[F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("secret"))
 
 
-def _nibbles(*seed: Column) -> Column:
+def _nibbles(secret: str, *seed: Column) -> Column:
     """128 keyed hex digits."""
-    one = F.concat_ws("|", F.lit(KEY), *seed)
+    one = F.concat_ws("|", F.lit(secret), *seed)
     return F.concat(F.sha2(one, 256), F.sha2(F.concat(one, F.lit("|2")), 256))
 
 
@@ -122,7 +125,13 @@ def spelt(entity: Column, kind: Column, new: Column) -> Column:
     return F.when(kind.isin("card", "phone", "iban") & entity.rlike(APART), number(new)).when((kind == "email") & entity.rlike("[A-Z]"), mail).otherwise(new)
 
 
-def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
+def _mod_97(text: Column) -> Column:
+    """Remainder of an account number as a bank takes it: letters are 10 to 35."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def surrogate(entity: Column, kind: Column, attempt: int, secret_key: str = KEY) -> Column:
     """The `attempt`th surrogate of a key. Names grow by a stem with each attempt, mail names and secrets by a digit from GROWS_FROM on."""
 
     def grown(s: Column) -> Column:
@@ -132,7 +141,7 @@ def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
         local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
         host, top = F.regexp_replace(domain, "\\.[A-Za-z]+$", ""), F.regexp_extract(domain, "(\\.[A-Za-z]+)$", 1)
         # one domain has one surrogate
-        return F.concat(_like(local, s, F.lit(0)), grown(s), F.lit("@"), _like(host, _nibbles(F.lit("domain"), F.lower(domain)), F.lit(0)), top)
+        return F.concat(_like(local, s, F.lit(0)), grown(s), F.lit("@"), _like(host, _nibbles(secret_key, F.lit("domain"), F.lower(domain)), F.lit(0)), top)
 
     def card(s: Column) -> Column:
         drawn = _like(entity, s, F.lit(1))
@@ -157,6 +166,15 @@ def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
     def phone(s: Column) -> Column:
         return _like(entity, s, F.char_length(F.regexp_extract(entity, COUNTRY, 1)))
 
+    def iban(s: Column) -> Column:
+        # a valid number stays valid, an invalid one invalid
+        drawn = _like(entity, s, F.lit(2))
+        country, body = F.substring(entity, F.lit(1), F.lit(2)), F.substring(drawn, F.lit(5), F.char_length(drawn))
+        whole = lambda number: F.concat(F.substring(number, F.lit(5), F.char_length(number)), F.substring(number, F.lit(1), F.lit(4)))
+        check = 98 - _mod_97(F.concat(body, country, F.lit("00")))
+        other = F.when(F.substring(drawn, F.lit(3), F.lit(2)).cast("int") == check, F.lit(0)).otherwise(F.substring(drawn, F.lit(3), F.lit(2)).cast("int"))
+        return F.concat(country, F.lpad(F.when(_mod_97(whole(entity)) == 1, check).otherwise(other).cast("string"), 2, "0"), body)
+
     def listed(s: Column, names: tuple, at: int) -> Column:
         return F.get(F.array(*[F.lit(x) for x in names]), _number(s, F.lit(at), 0, len(names) - 1).cast("int"))
 
@@ -176,13 +194,13 @@ def surrogate(entity: Column, kind: Column, attempt: int) -> Column:
         return (
             F.when(kind == "email", email(s)).when(kind == "card", card(s)).when(kind == "ipv4", ipv4(s)).when(kind == "secret", secret(s)).when(kind == "phone", phone(s))
             .when(kind == FAMILY, family(s)).when(kind == GIVEN_F, given(s, "f")).when(kind == GIVEN_M, given(s, "m"))
-            .when(kind == "aws_key", _like(entity, s, F.lit(4))).when(kind == "iban", _like(entity, s, F.lit(2))).otherwise(_like(entity, s, F.lit(0)))
+            .when(kind == "aws_key", _like(entity, s, F.lit(4))).when(kind == "iban", iban(s)).otherwise(_like(entity, s, F.lit(0)))
         )
 
-    return let(_nibbles(kind, entity, F.lit(str(attempt))), made)
+    return let(_nibbles(secret_key, kind, entity, F.lit(str(attempt))), made)
 
 
-def _drawn(known: DataFrame) -> DataFrame:
+def _drawn(known: DataFrame, secret: str) -> DataFrame:
     """(kind, key, surrogate) for distinct (kind, key): surrogates differ from each other and from all keys.
 
     Each round draws for the keys that have none yet. Of those that drew the same, the least keeps it; a draw that is a key or was given
@@ -190,7 +208,7 @@ def _drawn(known: DataFrame) -> DataFrame:
     """
     open_, given, left, idle = known, None, known.count(), 0
     for attempt in count():
-        drawn = written(open_.withColumn("surrogate", surrogate(F.col("key"), F.col("kind"), attempt)), "pii-drawn")
+        drawn = written(open_.withColumn("surrogate", surrogate(F.col("key"), F.col("kind"), attempt, secret)), "pii-drawn")
         best = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "key")).alias("_b")).select("surrogate", "_b.*")
         best = best.join(known.select(F.col("key").alias("surrogate")), "surrogate", "left_anti")
         if given is not None:
@@ -206,7 +224,7 @@ def _drawn(known: DataFrame) -> DataFrame:
             raise ValueError(f"{left} entities have no surrogate of their own: the corpus fills their formats")
 
 
-def surrogates(entities: DataFrame) -> DataFrame:
+def surrogates(entities: DataFrame, secret: str = KEY) -> DataFrame:
     """(entity, kind, surrogate) for the distinct entities. Spellings of one key get the surrogate of the key as they spell it.
 
     A name's given and family name have surrogates of their own, whatever title and names they stand with.
@@ -216,7 +234,7 @@ def surrogates(entities: DataFrame) -> DataFrame:
     title, given, family, gender = _name_parts(F.col("entity"))
     plain, names = known.filter("kind <> 'name'"), known.filter("kind = 'name'").select("entity", "kind", title.alias("title"), given.alias("given"), family.alias("family"), gender.alias("gender"))
     keys = plain.select("kind", "key").unionByName(names.select(F.lit(FAMILY).alias("kind"), F.col("family").alias("key"))).unionByName(names.filter("given <> ''").select(F.col("gender").alias("kind"), F.col("given").alias("key")))
-    drawn = _drawn(written(keys.distinct(), "pii-keys"))
+    drawn = _drawn(written(keys.distinct(), "pii-keys"), secret)
     plain = plain.join(drawn, ["kind", "key"]).select("entity", "kind", spelt(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("surrogate"))
     families = drawn.filter(F.col("kind") == FAMILY).select(F.col("key").alias("family"), F.col("surrogate").alias("new_family"))
     givens = drawn.filter(F.col("kind").isin(GIVEN_F, GIVEN_M)).select(F.col("kind").alias("gender"), F.col("key").alias("given"), F.col("surrogate").alias("new_given"))
@@ -224,30 +242,26 @@ def surrogates(entities: DataFrame) -> DataFrame:
     return plain.unionByName(names.select("entity", "kind", F.concat_ws(" ", "title", "new_given", "new_family").alias("surrogate")))
 
 
-def pseudonymise(docs: DataFrame) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str = KEY) -> DataFrame:
     """docs with each entity in text replaced, and n_entities (bigint) and entity_kinds (sorted, joined by commas).
 
     Texts without an entity don't change; a null text stays null with none. Rows that agree in doc_id and text are one document. The
-    same corpus gives the same surrogates; another row may change one only where draws collide. Other columns stay as they are.
+    same corpus and secret give the same surrogates; another row may change one only where draws collide. Other columns stay as they are.
     """
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("_d", "_t", "n_entities", "entity_kinds")}
-    base = with_identity(docs.withColumnsRenamed(clash))
-    keep = [F.col(clash.get(c, c)).alias(c) if c in clash else F.col(c) for c in docs.columns if c not in ("n_entities", "entity_kinds")]
+    base = packed(docs, docs["text"].alias("text"))
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     # a document's entities by place; texts themselves are not moved for this
     places = base.select("_d", "_t", F.posexplode(found).alias("at", "entity")).dropDuplicates(["_d", "_t", "at"])
     places = written(places, "pii-places")
-    named = places.join(surrogates(places), "entity")
+    named = places.join(surrogates(places, secret), "entity")
     per_doc = named.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("_new"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("entity_kinds"))
     hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    plain = base.filter(~hit).withColumn("n_entities", F.lit(0).cast("long")).withColumn("entity_kinds", F.lit(""))
     # only texts with a hint go through the join
     rows = base.filter(hit).join(per_doc, ["_d", "_t"], "left")
     parts = F.split("text", ANY, -1)
     put = F.when(F.col("_new").isNull(), F.col("text")).otherwise(let(parts, lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i)["surrogate"], F.lit("")))), "")))
-    rows = rows.withColumn("text", put).withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0)).cast("long")).withColumn("entity_kinds", F.coalesce("entity_kinds", F.lit("")))
-    rows = rows.withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
-    return plain.select(*keep, "n_entities", "entity_kinds").unionByName(rows.select(*keep, "n_entities", "entity_kinds"))
+    plain = unpacked(base.filter(~hit), docs, more={"n_entities": F.lit(0).cast("long"), "entity_kinds": F.lit("")})
+    return plain.unionByName(unpacked(rows, docs, {"text": put}, {"n_entities": F.greatest(F.coalesce(F.size("_new"), F.lit(0)), F.lit(0)).cast("long"), "entity_kinds": F.coalesce("entity_kinds", F.lit(""))}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

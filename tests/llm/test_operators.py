@@ -38,7 +38,7 @@ def odd(spark, docs):
     from pyspark.sql import functions as F
 
     more = spark.createDataFrame([(None, "one two three four five", None, None, None), (3, "one", "en", "s0", 3)], SCHEMA)
-    return docs.unionByName(more).withColumns({c: F.lit("own") for c in ("_d", "_t", "kept", "starts", "labels", "node", "m", "a", "size", "n_removed", "h")})
+    return docs.unionByName(more).withColumns({c: F.lit("own") for c in ("_d", "_t", "kept", "starts", "labels", "node", "m", "a", "size", "n_removed", "h", "_x", "_new", "_left", "_size", "_take", "_row", "n_entities", "ranges")})
 
 
 def run(df):
@@ -50,6 +50,11 @@ def test_all_take_odd_and_empty_tables(spark, odd):
     for f in (exact_dedup.exact_dedup, line_dedup.line_dedup, mixing.mix_sources, fingerprints.fingerprints, licenses.license_scan, pii.pseudonymise, substring_dedup.substring_dedup, ngram_join.jaccard_join, lambda d: sentencepiece.encode_documents(d, model), lambda d: toxicity.toxicity(d, toxicity.train([]))):
         assert len(f(odd).collect()) == odd.count()
         assert f(odd.limit(0)).collect() == []
+    # docs' own columns come through as they are
+    for f, gone in ((line_dedup.line_dedup, {"n_removed"}), (mixing.mixed_documents, set()), (ngram_join.one_of_each, set()), (pii.pseudonymise, {"n_entities"})):
+        out = f(odd)
+        own = [c for c in odd.columns[5:] if c not in gone]
+        assert [c for c in out.columns if c in odd.columns and c not in gone] == [c for c in odd.columns if c not in gone] and {tuple(r) for r in out.select(*own).collect()} == {("own",) * len(own)}
 
 
 @pytest.mark.parametrize("bits", [64, 1])
@@ -393,3 +398,76 @@ def test_unigram_viterbi_against_brute_force():
         assert "".join(got) == text and abs(sum(model.scores[model.ids[p]] for p in got) - best(text)) < 1e-9
     long = "▁" + "".join(rng.choice(list("ab"), 5000))
     assert "".join(model.viterbi(long)) == long
+
+
+def test_names_of_several_parts_and_bank_numbers(spark):
+    valid = lambda n: int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+    texts = ["Mrs. Anna-Maria Smith came.", "Mr. O'Neil-Brown went", "to GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765432.", "to GB83 WEST 1234 5698 7654 32."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = run(pii.pseudonymise(docs))
+    assert re.fullmatch(r"Mrs\. \w+ \w+ came\.", rows[0]["text"]) and not re.search("Maria|Smith|Neil|Brown", rows[0]["text"] + rows[1]["text"])
+    spaced, plain = re.fullmatch(r"to (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (GB\d\d[A-Z]{4}\d{14})\.", rows[2]["text"]).groups()
+    assert spaced.replace(" ", "") == plain and valid(plain) and not valid(rows[3]["text"][3:-1].replace(" ", ""))
+    other = run(pii.pseudonymise(docs, "another secret"))
+    assert all(other[i]["text"] != rows[i]["text"] for i in range(4)) and run(pii.pseudonymise(docs)) == rows
+
+
+def test_surrogates_of_many_documents(spark):
+    """Distinct entities keep distinct surrogates everywhere, equal ones the same: read back from whole texts."""
+    rng = random.Random(4)
+    names = ["Mr. " + "".join(rng.choices("BCDFG", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfglmnr", k=2) + rng.choices("aeiou", k=2)) for _ in range(300)]
+    mails = [f"user{i}@host{i % 7}.example.org" for i in range(200)]
+    phones = [f"+49 {rng.randint(100, 999)} {rng.randint(1000000, 9999999)}" for _ in range(200)]
+    pool = names + mails + phones
+    texts = [" ; ".join(rng.choices(pool, k=8)) for _ in range(400)] + [" ; ".join(pool) + " word" * 50_000]
+    rows = run(pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    to, back = {}, {}
+    for i, t in enumerate(texts):
+        old, new = t.split(" word")[0].split(" ; "), rows[i]["text"].split(" word")[0].split(" ; ")
+        assert len(old) == len(new) == rows[i]["n_entities"]
+        for a, b in zip(old, new, strict=True):
+            assert to.setdefault(a, b) == b and back.setdefault(b, a) == a and b not in pool
+    assert rows[400]["text"].endswith(" word" * 50_000)
+
+
+def sentences_of(text):
+    """Brute force: every stretch between places where a sentence may start and end is looked up; the longest at a place counts."""
+    known = {s: k for k, v in licenses.SENTENCES.items() for s in v}
+    units = [u for u in (re.sub(r"[^\w]+|_", " ", p).strip() for p in re.split(r"[.!?;:]\s|\n", text.lower())) if u]
+    found, i = [], 0
+    while i < len(units):
+        hit = next((j for j in range(len(units), i, -1) if " ".join(units[i:j]) in known), None)
+        if hit:
+            found.append(known[" ".join(units[i:hit])])
+        elif re.match(r"copyright (c )?(19|20)\d\d\b", units[i]):
+            found.append("copyright")
+        i += 1
+    return found
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(9)
+    known = [s for v in licenses.SENTENCES.values() for s in v]
+    texts = [None, "", "copyright (c) 2021 someone", " ".join(known), "x " * 60_000 + "\n" + known[3]]
+    for _ in range(150):
+        parts = [rng.choice([rng.choice(known), rng.choice(known), "some words here", "license", " ".join(rng.choice(known).split()[:4])]) for _ in range(rng.randint(1, 7))]
+        text = rng.choice([". ", "\n", "; ", "!\n\n"]).join(rng.choice([p, p.capitalize(), p.upper()]) for p in parts)
+        words = text.split(" ")
+        for k in range(0, len(words), rng.randint(5, 30)):
+            words[k] = words[k] + rng.choice(["\n", ",", ""])
+        texts.append(" ".join(words))
+    rows = run(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        want = sentences_of(t or "")
+        assert rows[i]["sentences"] == ",".join(want), t
+        numbers = [[k for k, s in enumerate(want) if s == rule[0]] for _, rule in licenses.RULES]
+        met = []
+        for (name, rule), starts in zip(licenses.RULES, numbers, strict=True):
+            at = starts[0] if starts else None
+            for s in rule[1:]:
+                at = next((k for k in range(at + 1, len(want)) if want[k] == s), None) if at is not None else None
+            if at is not None and name not in met:
+                met.append(name)
+        if "BSD-3-Clause" in met and "bsd2-name" not in want:
+            met = [m for m in met if m != "BSD-2-Clause"]
+        assert rows[i]["licenses"] == ",".join(met), t
