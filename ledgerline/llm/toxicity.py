@@ -21,7 +21,7 @@ from .common import table
 from .words import Words, mix, pieces, texts
 
 #: At most so many labelled documents of each class are learnt from.
-MOST_PER_CLASS = 1500
+MOST_PER_CLASS = 1000
 #: Words of a window, and words from one window's start to the next: a word is read in WINDOW / STRIDE windows, and words less than WINDOW - STRIDE apart in a common one.
 WINDOW, STRIDE = 32, 8
 LAP = WINDOW // STRIDE
@@ -313,7 +313,8 @@ def train(sample: list[tuple[str, int]], seed: int = 4, steps: int | None = None
                 v -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-7)).astype(F4)
 
     # the cut that errs least on what was kept aside
-    scores, t = top_logits(net, inputs)[aside], y[aside]
+    numbers, start, owner = inputs.laid_out(aside)
+    scores, t = np.maximum.reduceat(_logits(net, inputs.vectors(net), numbers, start), np.searchsorted(owner, np.arange(len(aside)))), y[aside]
     order = np.argsort(scores)
     s, t = scores[order], t[order]
     wrong = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
