@@ -91,7 +91,8 @@ def _position(bounds: list[int], value: Column) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    padded = F.array(*[F.lit(b) for b in bounds])
+    # one folded literal, however many they are
+    padded = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(F.get(padded, lo + s - 1) <= value, lo + s).otherwise(lo))
 
 
