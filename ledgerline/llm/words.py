@@ -71,7 +71,7 @@ class Words:
         step = dark[1:] != dark[:-1]
         # a text's border ends a word, too
         inner = offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < n)]
+        inner = np.unique(inner[(inner > 0) & (inner < n)])  # once, where empty texts lie between
         cut = inner[~dark[inner] & ~dark[inner + 1]]
         edges = np.flatnonzero(step)
         if len(cut):
