@@ -21,7 +21,7 @@ from .common import table
 from .words import Words, mix, pieces, texts
 
 #: At most so many labelled documents of each class are learnt from.
-MOST_PER_CLASS = 1000
+MOST_PER_CLASS = 1500
 #: Words of a window, and words from one window's start to the next: a word is read in WINDOW / STRIDE windows, and words less than WINDOW - STRIDE apart in a common one.
 WINDOW, STRIDE = 32, 8
 LAP = WINDOW // STRIDE
@@ -52,15 +52,16 @@ class Inputs:
         w = Words(low, offsets)
         self.first, self.count = w.first, w.count
         distinct, at, self.of = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.distinct = distinct
         start, end = w.start[at], w.end[at]
         self.word = (distinct >> U(64 - WORD_BITS)).astype(np.int64)
         # the distinct words' bytes side by side, each between two borders
         size = end - start + 2
-        self.begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.ones(self.begin[-1], np.uint8)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        flat = np.ones(begin[-1], np.uint8)
         total = int((end - start).sum())
         source = np.repeat(start - np.concatenate([[0], np.cumsum(end - start)])[:-1], end - start) + np.arange(total)
-        target = np.repeat(self.begin[:-1] + 1 - np.concatenate([[0], np.cumsum(end - start)])[:-1], end - start) + np.arange(total)
+        target = np.repeat(begin[:-1] + 1 - np.concatenate([[0], np.cumsum(end - start)])[:-1], end - start) + np.arange(total)
         flat[target] = low[source]
         owner = np.repeat(np.arange(len(size)), size)
         runs, owners = [], []
@@ -83,6 +84,28 @@ class Inputs:
         self.run_first = np.searchsorted(own, np.arange(len(size)))
         self.run_count = np.diff(np.concatenate([self.run_first, [len(own)]]))
 
+    @classmethod
+    def of_texts(cls, values: list[str]) -> Inputs:
+        """The inputs of many texts, read a few at a time, which takes far less memory than all at once."""
+        batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["text"])
+        parts = [cls(*texts(piece.column("text"))) for piece in pieces(iter([batch]), "text")]
+        if not parts:
+            return cls(*_bytes([]))
+        self = cls.__new__(cls)
+        self.distinct, at, number = np.unique(np.concatenate([p.distinct for p in parts]), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *(len(p.distinct) for p in parts)])
+        self.of = np.concatenate([number[b + p.of] for p, b in zip(parts, before)])
+        words_before = np.cumsum([0, *(p.first[-1] for p in parts)])
+        self.first = np.concatenate([*(p.first[:-1] + b for p, b in zip(parts, words_before)), words_before[-1:]])
+        self.count = np.concatenate([p.count for p in parts])
+        # the runs of all parts' words, then those of each word's first place
+        runs_before = np.cumsum([0, *(len(p.run) for p in parts)])
+        self.run, self.run_first, self.run_count = np.concatenate([p.run for p in parts]), np.concatenate([p.run_first + b for p, b in zip(parts, runs_before)]), np.concatenate([p.run_count for p in parts])
+        self.word, self.run = np.concatenate([p.word for p in parts])[at], self.run[self.runs_of(at)]
+        self.run_count = self.run_count[at]
+        self.run_first = np.cumsum(self.run_count) - self.run_count
+        return self
+
     def vectors(self, net: dict, some: np.ndarray | None = None) -> np.ndarray:
         """A row for each of some distinct words (all), and one of zeros for what lies beyond a text's end."""
         word, size, run = (self.word, self.run_count, self.run) if some is None else (self.word[some], self.run_count[some], self.run[self.runs_of(some)])
@@ -258,7 +281,7 @@ def train(sample: list[tuple[str, int]], seed: int = 4, steps: int | None = None
     rng, net = np.random.default_rng(seed), new_net(seed)
     y = np.array([b for _, b in sample], np.int64)
     extras = {"base": np.array([(y.sum() + 0.5) / (len(y) + 1.0)], F4), "shift": np.zeros(1, F4)}
-    inputs = Inputs(*_bytes([t for t, _ in sample]))
+    inputs = Inputs.of_texts([t for t, _ in sample])
     some = [np.flatnonzero((y == b) & (inputs.count > 0)) for b in (0, 1)]
     if not len(some[0]) or not len(some[1]):
         return net | extras | {"flat": np.array([True])}

@@ -71,6 +71,17 @@ def test_all_overlapping_windows():
     assert all(set(range(n)) <= covered[k] for k, n in enumerate((1, 0, 33, 100)))
 
 
+def test_inputs_in_pieces(random_net, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), int(rng.integers(1, 7)))) for _ in range(n)) for n in (5, 0, 400, 33, 900, 1)]
+    whole = toxicity.Inputs(*toxicity._bytes(texts))
+    monkeypatch.setattr(toxicity, "pieces", lambda batches, column: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    parts = toxicity.Inputs.of_texts(texts)
+    for name in ("distinct", "of", "first", "count", "word", "run", "run_first", "run_count"):
+        assert (getattr(whole, name) == getattr(parts, name)).all(), name
+    assert (whole.vectors(random_net) == parts.vectors(random_net)).all()
+
+
 def test_gradients(random_net):
     net = {k: v.astype(np.float64) for k, v in random_net.items()}
     rng = np.random.default_rng(7)
