@@ -56,8 +56,8 @@ def unpacked(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = N
     return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in more], *[v.alias(k) for k, v in more.items()])
 
 
-def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, salts: int = 64) -> DataFrame:
-    """rows joined with keys (one row a key, `count` of rows has it), the rows of hot keys dealt over `salts` tasks.
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, salts: int = 64, how: str = "inner") -> DataFrame:
+    """rows joined with keys (one row a key, `count` of rows has it; how: inner or left), the rows of hot keys dealt over `salts` tasks.
 
     A key is hot that has over a thousandth of all the keys' rows, so at most 1,000 are, and only those are broadcast. keys is
     read several times and should be written.
@@ -67,7 +67,7 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, salts:
     hot = keys.filter(is_hot).select(*on, F.lit(salts).alias("_salts"))
     salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(salts))).cast("int")).drop("_salts")
     each = keys.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(each, [*on, "_salt"]).drop("_salt")
+    return salted.join(each, [*on, "_salt"], how).drop("_salt")
 
 
 def shared_dir(spark: SparkSession) -> str:

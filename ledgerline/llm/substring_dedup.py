@@ -4,7 +4,9 @@ Edges are runs of k words. They are never sorted singly: consecutive edges that
 share their minimizer (the least hash of a shorter run in them) form a path, one
 row a path. Equal edges share their minimizer, so only paths with a repeated one
 matter; joins find them. A path whose words, read at its source coordinates,
-occur again whole is repeated as a whole, a nonbranching path in compacted form.
+occur again whole is repeated as a whole. Where every copy of one path runs on
+into every copy of another, nothing branches between them, and joins glue them:
+chains of such paths become one maximal path, a row each place it stands.
 Where paths of one minimizer differ, as at the ends of a shared passage, one
 occurrence of each distinct path is opened into its edges, and edges found in
 two paths are repeated.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hot_join, table, with_identity, written
@@ -148,8 +150,22 @@ def _cut(span: int):
     return go
 
 
+def compacted(hits: DataFrame) -> DataFrame:
+    """Repeated paths (_d, _t, start, n, mask, g, h, c, copies: rows of that place) with the whole ones glued where nothing branches: _d, _t, start, n, mask, of maximal paths.
+
+    Of two neighbours nothing branches between them if the second follows the first at as many places as either has. Then it
+    does so wherever either stands, so that a document's rows show its chains whole, however long, without rounds of doubling.
+    """
+    place = Window.partitionBy("_d", "_t").orderBy("start")
+    pairs = hits.withColumn("_to", F.lead(F.struct("start", "mask", "g", "h", "c")).over(place)).filter("mask = -1 AND _to.mask = -1 AND _to.start = start + n")
+    through = pairs.groupBy("g", "h", "c", F.col("_to.g").alias("to_g"), F.col("_to.h").alias("to_h"), F.col("_to.c").alias("to_c")).agg(F.sum("copies").alias("through"))
+    glue = written(through.filter("through = c AND through = to_c").select("g", "h", "through"), "substring-glue")
+    glued = hot_join(hits, glue, ["g", "h"], "through", how="left").withColumn("_new", F.lag("through").over(place).isNull().cast("int")).withColumn("chain", F.sum("_new").over(place))
+    return glued.groupBy("_d", "_t", "chain").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.max("mask").alias("mask")).drop("chain")
+
+
 def repeated_paths(base: DataFrame, span: int = SPAN, run: int = RUN) -> tuple[DataFrame, DataFrame]:
-    """For base (_d, _t, text): the paths of repeated edges (_d, _t, start, n, mask), mask -1 for all edges, else bits of the repeated ones;
+    """For base (_d, _t, text): the maximal paths of repeated edges (_d, _t, start, n, mask), mask -1 for all edges, else bits of the repeated ones;
     and the texts that have any path whose minimizer is repeated (_d, _t, text)."""
     found = base.mapInArrow(_find_paths(span, run), "_d long, _t long, m long, start long, n long")
     # paths are found once more rather than written: that takes less than keeping all of them
@@ -165,8 +181,9 @@ def repeated_paths(base: DataFrame, span: int = SPAN, run: int = RUN) -> tuple[D
     twice = written(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-twice")
     masks = hot_join(edges, twice, ["a", "b"], "c").groupBy("m", "g", "h").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     marked = kinds.join(masks, ["m", "g", "h"], "left").withColumn("mask", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.col("bits"))).filter("mask IS NOT NULL").select("m", "g", "h", "c", "mask")
-    hits = hot_join(rows, written(marked, "substring-marked"), ["m", "g", "h"], "c").select("_d", "_t", "start", "n", "mask")
-    return hits, some.select("_d", "_t", "text")
+    hits = hot_join(rows, written(marked, "substring-marked"), ["m", "g", "h"], "c")
+    hits = written(hits.groupBy("_d", "_t", "start", "n", "mask", "g", "h", "c").agg(F.count(F.lit(1)).alias("copies")), "substring-hits")
+    return compacted(hits), some.select("_d", "_t", "text")
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, run: int = RUN) -> DataFrame:
@@ -179,7 +196,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, run: int = RUN) -> DataFr
     base = with_identity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     whole = base.mapInArrow(_whole, "doc_id long, _d long, _t long, n_words long, sha string")
     hits, some = repeated_paths(base.select("_d", "_t", "text"), span, run)
-    spans = hits.distinct().groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
+    spans = hits.groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
     cut = some.join(spans, ["_d", "_t"]).mapInArrow(_cut(span), "_d long, _t long, n_removed long, kept string, sha string")
     cut = cut.dropDuplicates(["_d", "_t"]).withColumnRenamed("sha", "cut_sha")
     out = whole.join(cut, ["_d", "_t"], "left")

@@ -108,6 +108,32 @@ def test_substring_dedup(docs, texts):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
 
 
+def test_paths_are_maximal(spark):
+    """A shared passage is one path between its open ends, and two where a third text branches off it; its edges are those of brute force."""
+    from ledgerline.llm.common import with_identity
+
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, other, loop = say(600), say(900), say(60)
+    made = [say(50) + " " + passage + " " + say(70), say(9) + " " + passage, " ".join(passage.split()[:300]) + " " + say(80), other, other, " ".join([loop] * 4), say(400), None]
+    rows = [(i, t) for i, t in enumerate([*made, made[0]])]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")
+    hits, _ = substring_dedup.repeated_paths(with_identity(docs).na.fill("", ["text"]).select("_d", "_t", "text"))
+    found = {}
+    for r in hits.collect():
+        found.setdefault(r["_d"], []).append(r)
+    words = [(t or "").split() for _, t in rows]
+    count = Counter(tuple(w[k : k + 35]) for w in [*words, words[1]] for k in range(len(w) - 34))
+    for i, w in enumerate(words):
+        edges = [r["start"] + k for r in found.get(i, []) for k in range(r["n"]) if r["mask"] == -1 or r["mask"] >> k & 1]
+        assert len(edges) == len(set(edges))
+        assert sorted(edges) == [k for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1]
+    whole = {i: sum(r["mask"] == -1 for r in x) for i, x in found.items()}
+    assert whole[3] == whole[4] == 1
+    assert 1 <= whole[0] <= 5 and whole[0] == whole[8]
+    assert len([r for r in substring_dedup.repeated_paths(with_identity(docs).filter("doc_id IN (3, 4)").select("_d", "_t", "text"))[0].collect()]) == 2
+
+
 def shingles(t):
     w = WORD.findall(t or "")
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
