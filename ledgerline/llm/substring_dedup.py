@@ -84,16 +84,21 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digests(span: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digest of each path's words, read at its source coordinates."""
+        """Digest of each path's words, read at its source coordinates, and that of the path that follows at once."""
         for batch in pieces(batches, "text"):
-            out: list[list] = [[], [], [], [], [], [], []]
-            for d, t, text, spans in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "spans")), strict=True):
+            out: list[list] = [[] for _ in range(8)]
+            follows: list[bool] = []
+            for d, t, copies, text, spans in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "copies", "text", "spans")), strict=True):
                 words = text.encode().split()
+                end = -1
                 for s in spans:
                     digest = hashlib.blake2b(b" ".join(words[s["start"] : s["start"] + s["n"] + span - 1]), digest_size=16).digest()
-                    for column, value in zip(out, (d, t, s["m"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), s["start"], s["n"]), strict=True):
+                    for column, value in zip(out, (d, t, copies, s["m"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), s["start"], s["n"]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["_d", "_t", "m", "g", "h", "start", "n"])
+                    follows.append(s["start"] == end)
+                    end = s["start"] + s["n"]
+            to = [[v if f else None for v, f in zip(column[1:], follows[1:], strict=True)] + [None] * bool(column) for column in (out[4], out[5])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*out, *to)], ["_d", "_t", "copies", "m", "g", "h", "start", "n", "to_g", "to_h"])
 
     return go
 
@@ -150,39 +155,51 @@ def _cut(span: int):
     return go
 
 
+def glue(kinds: DataFrame) -> DataFrame:
+    """Of kinds (a row a distinct path: m, g, h, c places, lo and hi: the least and greatest path that follows it at once, at `followed`
+    places): those (m, g, h) between which and their follower nothing branches.
+
+    That is so where one path follows at all places, and stands at no other place. At most one path of as many places as its
+    follower can be like that, so candidates are counted before the join, and its keys are single on either side.
+    """
+    repeated = kinds.filter("c > 1")
+    before = repeated.filter("followed = c AND lo = hi").groupBy(F.col("lo.g").alias("g"), F.col("lo.h").alias("h"), "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("m", "g", "h")).alias("path")).filter("k = 1")
+    return before.join(repeated.select("g", "h", "c"), ["g", "h", "c"]).select("path.*")
+
+
 def compacted(hits: DataFrame) -> DataFrame:
-    """Repeated paths (_d, _t, start, n, mask, g, h, c, copies: rows of that place) with the whole ones glued where nothing branches: _d, _t, start, n, mask, of maximal paths.
+    """Repeated paths (_d, _t, start, n, mask, glued), with each chain of glued ones and the one after them as one maximal path: _d, _t, start, n, mask.
 
-    Of two neighbours nothing branches between them if the second follows the first at as many places as either has. Then it
-    does so wherever either stands, so that a document's rows show its chains whole, however long, without rounds of doubling.
+    A glued path's follower comes next wherever it stands, so that a document's rows show its chains whole, however long, without rounds of doubling.
     """
     place = Window.partitionBy("_d", "_t").orderBy("start")
-    pairs = hits.withColumn("_to", F.lead(F.struct("start", "mask", "g", "h", "c")).over(place)).filter("mask = -1 AND _to.mask = -1 AND _to.start = start + n")
-    through = pairs.groupBy("g", "h", "c", F.col("_to.g").alias("to_g"), F.col("_to.h").alias("to_h"), F.col("_to.c").alias("to_c")).agg(F.sum("copies").alias("through"))
-    glue = written(through.filter("through = c AND through = to_c").select("g", "h", "through"), "substring-glue")
-    glued = hot_join(hits, glue, ["g", "h"], "through", how="left").withColumn("_new", F.lag("through").over(place).isNull().cast("int")).withColumn("chain", F.sum("_new").over(place))
-    return glued.groupBy("_d", "_t", "chain").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.max("mask").alias("mask")).drop("chain")
+    chain = F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0))
+    chains = hits.withColumn("_new", F.when(F.lag("glued").over(place), 0).otherwise(1)).withColumn("chain", chain)
+    return chains.groupBy("_d", "_t", "chain").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.max("mask").alias("mask")).drop("chain")
 
 
 def repeated_paths(base: DataFrame, span: int = SPAN, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """For base (_d, _t, text): the maximal paths of repeated edges (_d, _t, start, n, mask), mask -1 for all edges, else bits of the repeated ones;
-    and the texts that have any path whose minimizer is repeated (_d, _t, text)."""
+    and the texts that have any path whose minimizer is repeated (_d, _t, text). Repeated rows are one text in both, but its edges are repeated."""
     found = base.mapInArrow(_find_paths(span, run), "_d long, _t long, m long, start long, n long")
     # paths are found once more rather than written: that takes less than keeping all of them
     again = written(found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-minimizers")
-    near = hot_join(found, again, ["m"], "c").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "start", "n")).alias("spans"))
-    some = written(base.join(near, ["_d", "_t"]), "substring-texts")
-    # repeated rows are one text here, that still repeats itself: each row counts below
-    rows = written(some.mapInArrow(_digests(span), "_d long, _t long, m long, g long, h long, start long, n long"), "substring-paths")
-    kinds = written(rows.groupBy("m", "g", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_t", "start", "n")).alias("one")), "substring-kinds")
+    # a text of repeated rows gives each place once a row
+    near = hot_join(found, again, ["m"], "c").groupBy("_d", "_t").agg(F.collect_set(F.struct("start", "m", "n")).alias("spans"), F.count(F.lit(1)).alias("all"))
+    near = near.select("_d", "_t", F.sort_array("spans").alias("spans"), (F.col("all") / F.size("spans")).cast("long").alias("copies"))
+    some = written(base.join(near, ["_d", "_t"]).dropDuplicates(["_d", "_t"]), "substring-texts")
+    rows = written(some.mapInArrow(_digests(span), "_d long, _t long, copies long, m long, g long, h long, start long, n long, to_g long, to_h long"), "substring-paths")
+    to = F.when(F.col("to_g").isNotNull(), F.struct(F.col("to_g").alias("g"), F.col("to_h").alias("h")))
+    kinds = rows.groupBy("m", "g", "h").agg(F.sum("copies").alias("c"), F.min(F.struct("_d", "_t", "start", "n")).alias("one"), F.min(to).alias("lo"), F.max(to).alias("hi"), F.sum(F.when(to.isNotNull(), F.col("copies"))).alias("followed"))
+    kinds = written(kinds, "substring-kinds")
     branching = written(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "substring-branching")
     opened = hot_join(kinds, branching, ["m"], "k").select("m", "g", "h", "one.*").groupBy("_d", "_t").agg(F.collect_list(F.struct("m", "g", "h", "start", "n")).alias("spans"))
-    edges = written(some.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(opened, ["_d", "_t"]).mapInArrow(_edges(span), "a long, b long, m long, g long, h long, bit int"), "substring-edges")
+    edges = written(some.select("_d", "_t", "text").join(opened, ["_d", "_t"]).mapInArrow(_edges(span), "a long, b long, m long, g long, h long, bit int"), "substring-edges")
     twice = written(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-twice")
     masks = hot_join(edges, twice, ["a", "b"], "c").groupBy("m", "g", "h").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    marked = kinds.join(masks, ["m", "g", "h"], "left").withColumn("mask", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.col("bits"))).filter("mask IS NOT NULL").select("m", "g", "h", "c", "mask")
-    hits = hot_join(rows, written(marked, "substring-marked"), ["m", "g", "h"], "c")
-    hits = written(hits.groupBy("_d", "_t", "start", "n", "mask", "g", "h", "c").agg(F.count(F.lit(1)).alias("copies")), "substring-hits")
+    marked = kinds.select("m", "g", "h", "c").join(masks, ["m", "g", "h"], "left").withColumn("mask", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.col("bits"))).filter("mask IS NOT NULL")
+    marked = marked.join(glue(kinds).withColumn("glued", F.lit(True)), ["m", "g", "h"], "left").select("m", "g", "h", "c", "mask", F.coalesce("glued", F.lit(False)).alias("glued"))
+    hits = hot_join(rows.drop("copies", "to_g", "to_h"), written(marked, "substring-marked"), ["m", "g", "h"], "c").select("_d", "_t", "start", "n", "mask", "glued")
     return compacted(hits), some.select("_d", "_t", "text")
 
 
@@ -198,7 +215,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, run: int = RUN) -> DataFr
     hits, some = repeated_paths(base.select("_d", "_t", "text"), span, run)
     spans = hits.groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
     cut = some.join(spans, ["_d", "_t"]).mapInArrow(_cut(span), "_d long, _t long, n_removed long, kept string, sha string")
-    cut = cut.dropDuplicates(["_d", "_t"]).withColumnRenamed("sha", "cut_sha")
+    cut = cut.withColumnRenamed("sha", "cut_sha")
     out = whole.join(cut, ["_d", "_t"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), "kept")
 
