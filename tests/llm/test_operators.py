@@ -321,7 +321,7 @@ def test_license_sentences_with_marks_inside(spark):
     grant = "\n".join(licenses.SENTENCES["bsd-endorse"][0].split())
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"
     texts = ["Code. " + gpl.format(":", 3), gpl.format(";", 2), mpl, "/*\n * SPDX-License-Identifier: MIT\n */", grant, "Released under\nthe MIT License"]
-    texts += [re.sub("spdx license identifier (.*)", lambda m: "// SPDX-License-Identifier: " + m[1].replace(" ", "-"), s) for v in licenses.SENTENCES.values() for s in v if s.startswith("spdx")]
+    texts += ["// SPDX-License-Identifier: " + s.replace(" ", "-") for v in licenses.NAMES.values() for s in v[2]]
     rows = run(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [rows[i]["licenses"] for i in range(6)] == ["GPL-3.0", "GPL-2.0", "MPL-2.0", "MIT", "", "MIT"]
     assert [rows[i]["sentences"] for i in (0, 3, 4, 5)] == ["gpl-free3,gpl-hope", "mit-name", "bsd-endorse", "mit-name,mit-name"]
@@ -456,15 +456,45 @@ def test_surrogates_of_many_documents(spark):
     assert rows[400]["text"].endswith(" word" * 50_000)
 
 
+def test_license_names(spark):
+    asked = {
+        "This library is licensed under the terms of the MIT license.": "MIT", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT,Apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later OR MIT": "MIT,GPL-3.0", "Released under the GNU General Public License v3.0": "GPL-3.0",
+        "distributed under GPLv2": "GPL-2.0", "Published under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "GNU Lesser General Public License, version 2.1 or later": "LGPL-2.1", "provided under\nBSD-3-Clause": "BSD-3-Clause", "MIT": "", "released under MITx": "", "under MIT": "",
+    }
+    rows = run(licenses.license_scan(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")))
+    assert [rows[i]["licenses"] for i in range(len(asked))] == list(asked.values())
+
+
+def all_known():
+    """Every known sentence, leads written out, and its identifier."""
+    things = ["", *[f"{a} {t} is " for a in ("this", "the") for t in licenses.THINGS]]
+    verbs = [f"{t}{v} under {terms}{a}" for t in things for v in licenses.VERBS for terms in ("", "the terms of ") for a in ("", "the ", "a ", "an ")]
+    known = {lead + n: k for k, v in licenses.NAMES.items() for n in v[0] for lead in ("", "the ", "a ", "an ", *verbs)}
+    known |= {lead + n: k for k, v in licenses.NAMES.items() for n in v[1] for lead in verbs}
+    return known | {s: k for k, v in licenses.SENTENCES.items() for s in v}
+
+
+KNOWN = all_known()
+
+
+def ids_of(sentence):
+    if sentence in KNOWN:
+        return [KNOWN[sentence]]
+    spdx = {n: k for k, v in licenses.NAMES.items() for n in v[2]}
+    listed = re.split(" (?:or|and) (?!later)", sentence[24:]) if sentence.startswith("spdx license identifier ") else []
+    return [spdx[x] for x in listed] if all(x in spdx for x in listed) else []
+
+
 def sentences_of(text):
     """Brute force: every stretch between places where a sentence may start and end is looked up; the longest at a place counts."""
-    known = {s: k for k, v in licenses.SENTENCES.items() for s in v}
     units = [u for u in (re.sub(r"[^\w]+|_", " ", p).strip() for p in re.split(r"[.!?;:]\s|\n", text.lower())) if u]
     found, i = [], 0
     while i < len(units):
-        hit = next((j for j in range(len(units), i, -1) if " ".join(units[i:j]) in known), None)
+        hit = next((j for j in range(len(units), i, -1) if ids_of(" ".join(units[i:j]))), None)
         if hit:
-            found.append(known[" ".join(units[i:hit])])
+            found += ids_of(" ".join(units[i:hit]))
         elif re.match(r"copyright (c )?(19|20)\d\d\b", units[i]):
             found.append("copyright")
         i += 1
@@ -474,7 +504,8 @@ def sentences_of(text):
 def test_licenses_against_brute_force(spark):
     rng = random.Random(9)
     known = [s for v in licenses.SENTENCES.values() for s in v]
-    texts = [None, "", "copyright (c) 2021 someone", " ".join(known), "x " * 60_000 + "\n" + known[3]]
+    texts = [None, "", "copyright (c) 2021 someone", " ".join(known), "SPDX-License-Identifier: MIT and ISC\nor epl-2.0.", "x " * 60_000 + "\n" + known[3]]
+    known += rng.sample(sorted(KNOWN), 200) + ["spdx license identifier mit or gpl 2 0 or later", "spdx license identifier isc"]
     for _ in range(150):
         parts = [rng.choice([rng.choice(known), rng.choice(known), "some words here", "license", " ".join(rng.choice(known).split()[:4])]) for _ in range(rng.randint(1, 7))]
         text = rng.choice([". ", "\n", "; ", "!\n\n"]).join(rng.choice([p, p.capitalize(), p.upper()]) for p in parts)
