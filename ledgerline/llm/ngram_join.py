@@ -216,7 +216,8 @@ def _groups(base: DataFrame, threshold: tuple[int, int], recall: float) -> tuple
     blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGEST_BLOCK))), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("one._d", "one._t", "node", "root", "copies", "blocks")
     # each pair of blocks of a group is read by itself
-    rows = base.join(members, ["_d", "_t"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # one plan at every size: small members would be broadcast, larger ones not
+    rows = base.join(members.hint("merge"), ["_d", "_t"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "root", "copies", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "text")
     checked = written(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(threshold), "node long, links long, to long"), "join-checked")
 
