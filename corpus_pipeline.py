@@ -11,8 +11,7 @@ from ledgerline.llm.common import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that don't score as toxic."""
-    net = toxicity.train(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.without_toxic(docs, net)
+    return toxicity.without_toxic(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

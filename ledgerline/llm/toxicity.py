@@ -10,6 +10,7 @@ the network judges a text.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -374,8 +375,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> list[tuple[str, int]]:
-    """At most `most` labelled documents of each class that aren't held out, picked by a hash of doc_id: 2 * most texts come to the driver.
+def sample_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> DataFrame:
+    """At most `most` labelled documents of each class that aren't held out, picked by a hash of doc_id, as doc_id, toxic, text.
 
     Of conflicting labels of one doc_id the toxic one counts, and of its repeated rows the least text.
     """
@@ -383,8 +384,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLA
     ranked = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(4), "doc_id"))
     picked = [ranked.filter(F.col("toxic") == b).orderBy("h", "doc_id").limit(most) for b in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> list[tuple[str, int]]:
+    """`sample_rows` as (text, label) pairs in the driver, by doc_id."""
+    return [(r["text"], r["toxic"]) for r in sorted(sample_rows(docs, labels, most).collect(), key=lambda r: r["doc_id"])]
+
+
+def learnt(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> dict:
+    """`train` on `training_sample`, in one task: only the network, some MB, comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [pair for batch in batches for pair in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
+        out = io.BytesIO()
+        np.savez(out, **train(sample))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["net"])
+
+    rows = sample_rows(docs, labels, most).repartition(1).sortWithinPartitions("doc_id")
+    found = rows.mapInArrow(run, "net binary").collect()
+    if not found:  # an empty sample may get no task
+        return train([])
+    with np.load(io.BytesIO(found[0]["net"])) as net:
+        return dict(net)
 
 
 def toxicity(docs: DataFrame, net: dict) -> DataFrame:
@@ -417,4 +439,4 @@ def without_toxic(docs: DataFrame, net: dict) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity(docs, train(training_sample(docs, table(spark, sf_dir, "labels"))))
+    return toxicity(docs, learnt(docs, table(spark, sf_dir, "labels")))
